@@ -27,9 +27,8 @@ def _ship(operator, **kwargs):
 
 
 def _interpreted(spark, folder) -> DataFrame:
-    return ingest.interpret(
-        t.published_shipments(spark, folder), t.region_dimension(spark, folder)
-    )
+    """Text file read as published, then interpreted."""
+    return ingest.interpret(t.stored_published(spark, folder), t.region_dimension(spark, folder))
 
 
 def _dates_as_text(df: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from dockline.operators.ingest import (
     group_name_of,
 )
 from dockline.plans.ranking import use_checkpoint_dir
+from dockline.sources.files import load_shipments_published
 
 ERA_CUTOFF = 1998
 
@@ -173,7 +174,7 @@ def _weight() -> Column:
 
 def published_shipments(spark: SparkSession, folder: str) -> DataFrame:
     """The shipment table as text, the way a published file would hold it."""
-    lines = order_lines(spark, folder).withColumns(_milestones())
+    lines = order_lines(spark, folder).hint("rebalance").withColumns(_milestones())
     h = F.col("h")
 
     def slashed(day: str) -> Column:
@@ -301,3 +302,22 @@ def stored_shipments(spark: SparkSession, folder: str) -> DataFrame:
         shipments(spark, folder, spread=True).write.mode("overwrite").parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
+
+
+def stored_published(spark: SparkSession, folder: str) -> DataFrame:
+    """The text view written once per application as CSV and read like a published file."""
+    key = (spark.sparkContext.applicationId, folder + "#published")
+    if key not in _STORED:
+        use_checkpoint_dir(spark)
+        base = spark.sparkContext.getCheckpointDir()
+        path = f"{base}/published-{len(_STORED)}"
+        (
+            published_shipments(spark, folder)
+            .write.mode("overwrite")
+            .option("header", True)
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path)
+        )
+        _STORED[key] = path
+    return load_shipments_published(spark, _STORED[key])
