@@ -321,3 +321,52 @@ def stored_published(spark: SparkSession, folder: str) -> DataFrame:
         )
         _STORED[key] = path
     return load_shipments_published(spark, _STORED[key])
+
+
+def patients(spark: SparkSession, folder: str) -> DataFrame:
+    """Patient rows with dirty text, derived from customer keys.
+
+    Every fifth customer repeats the one before it, sometimes with other casing
+    or blanks, so some copies show only after standardising.
+    """
+    key = F.col("c_custkey")
+    k = key - F.when(key % 5 == 4, 1).otherwise(0)
+    age, ratio = 15 + (k * 7) % 60, F.lit(6.0) + ((k * 37) % 3200) / F.lit(100.0)
+    sex = F.when(k % 2 == 0, "F").otherwise("M")
+    pressure = F.when(k % 3 == 0, "HIGH").when(k % 3 == 1, "LOW").otherwise("NORMAL")
+    fat = F.when(F.floor(k / 3) % 2 == 0, "HIGH").otherwise("NORMAL")
+    drug = (
+        F.when(ratio > 15, "DrugY")
+        .when((pressure == "HIGH") & (age <= 50), "drugA")
+        .when(pressure == "HIGH", "drugB")
+        .when((pressure == "LOW") & (fat == "HIGH"), "drugC")
+        .otherwise("drugX")
+    )
+    return table(spark, folder, "customer").select(
+        F.when(k % 97 == 5, None)
+        .when(k % 97 == 6, "n/a")
+        .when(k % 97 == 7, "-5")
+        .when(k % 97 == 8, "250")
+        .otherwise(age.cast("string"))
+        .alias("Age"),
+        F.when(k % 89 == 3, None)
+        .when(key % 7 == 1, F.lower(sex))
+        .when(key % 7 == 2, F.concat(sex, F.lit(" ")))
+        .otherwise(sex)
+        .alias("Sex"),
+        F.when(k % 83 == 4, None)
+        .when(key % 11 == 1, F.lower(pressure))
+        .when(key % 11 == 2, F.concat(F.lit(" "), pressure))
+        .otherwise(pressure)
+        .alias("BP"),
+        F.when(k % 79 == 2, None).otherwise(fat).alias("Cholesterol"),
+        F.when(k % 101 == 9, None).otherwise(ratio).alias("Na_to_K"),
+        drug.alias("Drug"),
+    )
+
+
+def scored_shipments(spark: SparkSession, folder: str) -> DataFrame:
+    """Shipments with a known outcome and a deterministic, heavily tied risk score."""
+    base = F.pmod(F.col("shipment_id") * 13 + F.length("vendor") + F.col("quantity") * 7, F.lit(200))
+    score = (base + F.col("is_late") * 60) / F.lit(400.0)
+    return stored_shipments(spark, folder).filter("is_late is not null").withColumn("score", score)
