@@ -159,8 +159,8 @@ def _score_order(score: str, ties: list[str]) -> list[Column]:
 
 def with_deciles(df: DataFrame, score: str, ties: list[str], name: str = "decile", parts: int = 10) -> DataFrame:
     """Equal-width bands of the unique descending rank; 1 holds the highest scores."""
-    total = df.agg(F.count("*")).scalar()
     ranked = running(df, _score_order(score, ties), row_number="_rank")
+    total = ranked.agg(F.count("*")).scalar()
     spread = F.try_divide((F.col("_rank") - 1) * parts, total - 1)
     band = F.greatest(F.lit(1), F.coalesce(F.ceil(spread), F.lit(1))).cast("int")
     return ranked.withColumn(name, band).drop("_rank")
@@ -173,7 +173,7 @@ def gains_curve(
     shares = settings.gains_shares
     rows = df.select(F.col(score), F.col(hit).cast("long").alias("_hit"), *ties)
     ranked = running(rows, _score_order(score, ties), row_number="_rank", sums={"_caught": "_hit"})
-    total = rows.agg(F.count("*")).scalar()
+    total = ranked.agg(F.count("*")).scalar()
     cuts = [F.greatest(F.rint(total * F.lit(s)).cast("long"), F.lit(1)) for s in shares]
     wide = ranked.agg(
         F.coalesce(F.max("_caught"), F.lit(0)).alias("hits"),
