@@ -309,8 +309,8 @@ SCORED = """scored AS (SELECT *, (((shipment_id * 13 + length(vendor) + quantity
 TIES = ["shipment_id", "po_number"]
 add(
     "risk_deciles",
-    lambda spark, folder: evaluation.with_deciles(t.scored_shipments(spark, folder), "score", TIES).select(
-        *TIES, "score", "decile"
+    lambda spark, folder: evaluation.with_deciles(
+        t.scored_shipments(spark, folder).select(*TIES, "score"), "score", TIES
     ),
     also(
         SCORED,
@@ -487,8 +487,9 @@ add("late_model_importance", lambda spark, folder: _late_model(spark, folder).im
 
 def _late_scores(spark, folder):
     trained = _late_model(spark, folder)
+    inputs = [*TIES, *training.LATE_NUMERIC, *training.LATE_CATEGORICAL]
     scored = scoring.score_late_risk(
-        trained.model, trained.metadata, t.stored_shipments(spark, folder), TIES
+        trained.model, trained.metadata, t.stored_shipments(spark, folder).select(*inputs), TIES
     )
     return scored.groupBy("late_risk_decile").agg(
         F.count("*").alias("shipments"), F.avg("late_risk_probability").alias("mean_probability")

@@ -385,8 +385,13 @@ def numeric_profile(df: DataFrame) -> DataFrame | None:
         tally(F.col("v") == 0).alias("zeros"),
         tally(F.col("v") < 0).alias("negatives"),
     )
+    moments = settled(moments)
+    largest = moments.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     quartiles = grouped_quantiles(
-        cells, ["column"], {"q25": ("v", 0.25), "median": ("v", 0.5), "q75": ("v", 0.75)}
+        cells,
+        ["column"],
+        {"q25": ("v", 0.25), "median": ("v", 0.5), "q75": ("v", 0.75)},
+        largest=largest,
     )
     n = F.col("n").cast("double")
     flat = F.col("low") == F.col("high")
@@ -591,8 +596,8 @@ def data_quality_score(
     subset: list[str] | None = None,
     rules: dict[str, Rule] | None = None,
     settings: QualitySettings = QUALITY,
-    profile: DataFrame | None = None,
     duplicates: DataFrame | None = None,
+    outliers: DataFrame | None = None,
 ) -> DataFrame:
     """Five dimensions, weighted score, grade and verdict in one row.
 
@@ -614,7 +619,7 @@ def data_quality_score(
         tally(torn).alias("torn"),
     )
     copies = duplicate_report(df, subset, settings).summary if duplicates is None else duplicates
-    outliers = outlier_report(df, None, settings, profile)
+    outliers = outlier_report(df, None, settings) if outliers is None else outliers
     capped = F.least(F.col("outlier_pct") / 100.0, F.lit(settings.accuracy_outlier_cap))
     row = merge_single_rows(
         facts,
@@ -670,17 +675,22 @@ def preprocessing_recommendations(
     df: DataFrame,
     rules: dict[str, Rule] | None = None,
     settings: QualitySettings = QUALITY,
-    profile: DataFrame | None = None,
-    duplicates: DataFrame | None = None,
+    reports: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Named treatments with severity and reason, read off the reports.
 
+    ``reports`` may hold any of ``profile``, ``missing``, ``duplicates`` (the
+    summary), ``validity``, ``consistency`` and ``outliers`` already computed.
     Key duplicates are not part of the plan; whole-row copies are.
     """
     df = with_flat_containers(df)
+    reports = dict(reports or {})
     numeric = numeric_columns(df)
-    if profile is None:
-        profile = numeric_profile(df)
+    profile = reports["profile"] if "profile" in reports else numeric_profile(df)
+
+    def report(name: str, build) -> DataFrame:
+        return reports[name] if name in reports else build()
+
     skews = (
         _empty(df, "column string, skew double") if profile is None else profile.select("column", "skew")
     )
@@ -703,7 +713,8 @@ def preprocessing_recommendations(
             reason.alias("rationale"),
         )
 
-    gaps = missing_value_report(df, settings).filter("missing_count > 0").join(skews, "column", "left")
+    missing = report("missing", lambda: missing_value_report(df, settings))
+    gaps = missing.filter("missing_count > 0").join(skews, "column", "left")
     mostly = F.col("missing_pct") >= settings.missing_drop_pct
     many = F.col("missing_pct") > settings.missing_high_pct
     some = F.col("missing_pct") >= settings.missing_low_pct
@@ -724,7 +735,7 @@ def preprocessing_recommendations(
         .otherwise(text(pct, " missing: the choice hardly moves any aggregate.")),
     )
 
-    copies = duplicate_report(df, None, settings).summary if duplicates is None else duplicates
+    copies = report("duplicates", lambda: duplicate_report(df, None, settings).summary)
     copies = copies.filter("exact_duplicate_rows > 0").withColumn("column", F.lit("<all columns>"))
     copy_plan = plan(
         "Duplicate rows",
@@ -734,7 +745,7 @@ def preprocessing_recommendations(
         text(F.format_string("%.2f%%", "duplicate_pct"), " of rows are exact copies, so every total is overstated."),
     )
 
-    bad = validity_report(df, rules, settings).filter("violations > 0")
+    bad = report("validity", lambda: validity_report(df, rules, settings)).filter("violations > 0")
     listed = F.col("rule").startswith("value in")
     bad_count = F.format_number("violations", 0)
     bad_plan = plan(
@@ -747,7 +758,8 @@ def preprocessing_recommendations(
         .otherwise(text("Values such as ", F.col("sample_bad_values"), " are not possible here.")),
     )
 
-    torn = consistency_report(df).filter("not passed").withColumn("column", F.col("check_name"))
+    torn = report("consistency", lambda: consistency_report(df)).filter("not passed")
+    torn = torn.withColumn("column", F.col("check_name"))
     torn_plan = plan(
         "Cross-field inconsistency",
         torn,
@@ -756,7 +768,8 @@ def preprocessing_recommendations(
         text(F.col("description"), " ", F.format_string("%.2f%%", "violation_pct"), " of checked rows break it."),
     )
 
-    far = outlier_report(df, None, settings, profile).filter("outlier_count > 0").join(skews, "column", "left")
+    outliers = report("outliers", lambda: outlier_report(df, None, settings, profile))
+    far = outliers.filter("outlier_count > 0").join(skews, "column", "left")
     wide = F.col("outlier_pct") > settings.material_outlier_pct
     far_plan = plan(
         "Statistical outliers",
@@ -815,23 +828,32 @@ class Dataset(NamedTuple):
 
 
 def assess_dataset(dataset: Dataset, settings: QualitySettings = QUALITY) -> Audit:
-    """Every report on one table; the profile and duplicate counts are computed once."""
+    """Every report on one table.
+
+    Each report is computed once and stored; the plan and the score read those.
+    """
     df = with_flat_containers(dataset.frame)
     profile = numeric_profile(df)
     duplicates = duplicate_report(df, dataset.key, settings)
-    duplicates = duplicates._replace(summary=settled(duplicates.summary))
+    reports = {
+        "missing": settled(missing_value_report(df, settings)),
+        "duplicates": settled(duplicates.summary),
+        "validity": settled(validity_report(df, None, settings)),
+        "consistency": settled(consistency_report(df)),
+        "outliers": settled(outlier_report(df, None, settings, profile)),
+    }
     return Audit(
-        missing=missing_value_report(df, settings),
-        duplicates=duplicates,
-        validity=validity_report(df, None, settings),
-        outliers=outlier_report(df, None, settings, profile),
+        missing=reports["missing"],
+        duplicates=duplicates._replace(summary=reports["duplicates"]),
+        validity=reports["validity"],
+        outliers=reports["outliers"],
         summary=summary_statistics(df, profile),
-        consistency=consistency_report(df),
+        consistency=reports["consistency"],
         recommendations=preprocessing_recommendations(
-            df, None, settings, profile, duplicates.summary
+            df, None, settings, {**reports, "profile": profile}
         ),
         score=data_quality_score(
-            df, dataset.key, None, settings, profile, duplicates.summary
+            df, dataset.key, None, settings, reports["duplicates"], reports["outliers"]
         ),
     )
 

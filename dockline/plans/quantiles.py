@@ -7,16 +7,17 @@ groups the order statistic is located by narrowing:
 
 1. a histogram per group on a monotone coarse cell (a log scale), built with
    map-side combine, so its shuffle carries cells and not rows;
-2. inside the one coarse cell that holds the wanted rank, a histogram on
-   ``FINE_CELLS`` equal slices of that cell's own value range;
-3. inside the one slice that holds the rank, the distinct values and counts.
+2. inside the cells that hold a wanted rank, a histogram on ``FINE_CELLS`` equal
+   slices of the cell's own value range, repeated while a cell is still large.
+   The smallest and the largest value always part, so every round shrinks it;
+3. inside a small cell, the distinct values and their counts.
 
 A rank whose cell holds a single value is answered at once, so whole-number
 columns usually need only the first pass. Cells depend on values alone (no
 sampling, no partition numbers), so re-run tasks give the same answer, and the
 result is exact: narrowing only decides where to look.
 
-Between the passes the cells that hold a wanted rank are counted. Up to
+Between the passes the cells that hold a wanted rank are fetched. Up to
 ``BROADCAST_CELLS`` of them are sent to every task, so the next pass shuffles no
 rows; beyond that they stay distributed and rows are matched by a shuffle join
 on group *and* cell, which spreads a hot group over its cells.
@@ -35,8 +36,8 @@ from dockline.plans.ranking import settled
 
 COARSE_PER_E_FOLD = 256
 FINE_CELLS = 16384
-BROADCAST_CELLS = 50_000
-DIRECT_ROWS = 50_000
+BROADCAST_CELLS = 20_000
+DIRECT_ROWS = 200_000
 
 
 def _coarse_cell(value: Column) -> Column:
@@ -70,18 +71,24 @@ def _ranked_cells(cells: DataFrame, within: list[str], order: str) -> DataFrame:
     return (
         placed.withColumn("_rank", F.explode("_ranks"))
         .filter(inside)
-        .drop("_ranks", "_n", "_below", "_upto")
+        .drop("_ranks", "_below", "_upto")
         .withColumnRenamed("_from", "_below")
     )
 
 
-def _kept(hits: DataFrame) -> tuple[DataFrame, bool, bool]:
-    """Materialise the hits: (frame, small enough to broadcast, all answered)."""
+def _kept(hits: DataFrame) -> tuple[DataFrame, bool, int]:
+    """Materialise the hits: (frame, small enough to broadcast, largest open cell).
+
+    Up to ``BROADCAST_CELLS`` hits come back as a local table; more than that are
+    checkpointed and stay distributed.
+    """
+    rows = hits.limit(BROADCAST_CELLS + 1).collect()
+    if len(rows) <= BROADCAST_CELLS:
+        largest = max((r["_n"] for r in rows if r["_lo"] < r["_hi"]), default=0)
+        return hits.sparkSession.createDataFrame(rows, hits.schema), True, largest
     hits = settled(hits)
-    count, unanswered = hits.agg(
-        F.count("*"), F.count(F.when(F.col("_lo") < F.col("_hi"), 1))
-    ).first()
-    return hits, count <= BROADCAST_CELLS, unanswered == 0
+    largest = hits.agg(F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_n")))).first()[0]
+    return hits, False, largest or 0
 
 
 def grouped_quantiles(
@@ -89,17 +96,22 @@ def grouped_quantiles(
     keys: list[str],
     wanted: dict[str, tuple[Column | str, float]],
     direct_rows: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """One row per group with a column per entry of ``wanted``.
 
     ``wanted`` maps an output name to ``(value, fraction)``. Nulls and NaN are
     ignored. Groups without any value may be absent from the result, so callers
     left-join it. With no keys the result is exactly one row. Runs the counting
-    passes when called.
+    passes when called; a caller that already knows the largest group size gives
+    it as ``largest`` and saves one.
     """
     if not keys:
         return _by_narrowing(df, keys, wanted)
     limit = DIRECT_ROWS if direct_rows is None else direct_rows
+    if largest is not None:
+        route = _by_percentile if largest <= limit else _by_narrowing
+        return route(df, keys, wanted)
     values = {_label(name, value): _column(value) for name, (value, _) in wanted.items()}
     counts = [F.count(value) for value in values.values()]
     size = F.greatest(*counts) if len(counts) > 1 else counts[0]
@@ -176,74 +188,43 @@ def _by_narrowing(
             "_below": F.lit(0).cast("long"),
         }
     ).withColumn("_ranks", ranks)
-    hits, small, done = _kept(_ranked_cells(first, group, "_c1"))
+    hits, small, largest = _kept(_ranked_cells(first, group, "_c1"))
     value = [*group, "_total", "_rank"]
-    answers = [hits.filter(F.col("_lo") == F.col("_hi")).select(*value, F.col("_lo").alias("_v"))]
-
-    def narrowed(hits: DataFrame, cell: list[str], small: bool) -> DataFrame:
-        """Rows inside unanswered cells, with the cell's bounds and rank base."""
-        open_cells = (
-            hits.filter(F.col("_lo") < F.col("_hi"))
-            .groupBy(*group, *cell)
-            .agg(*[F.max(c).alias(c) for c in ("_total", "_lo", "_hi", "_below")])
+    answered = F.col("_lo") == F.col("_hi")
+    answers = [hits.filter(answered).select(*value, F.col("_lo").alias("_v"))]
+
+    # A cell is an interval of values: (group, coarse cell, lowest value) names it.
+    cell = [*group, "_c1", "_low"]
+    while largest > 0:
+        parents = (
+            hits.filter(~answered)
+            .groupBy(*group, "_c1", F.col("_lo").alias("_low"), F.col("_hi").alias("_high"))
+            .agg(F.max("_total").alias("_total"), F.max("_below").alias("_below"))
         )
-        if small:
-            open_cells = F.broadcast(open_cells)  # counted: at most BROADCAST_CELLS rows
-        return match_rows(rows, open_cells, [*group, "_c1"], "inner")
-
-    def asked(cells: DataFrame, hits: DataFrame, cell: list[str]) -> DataFrame:
-        """Cells of the next level with the ranks wanted from their parent cell."""
-        wanted_ranks = (
-            hits.filter(F.col("_lo") < F.col("_hi"))
-            .groupBy(*group, *cell)
+        ranks_of = (
+            hits.filter(~answered)
+            .groupBy(*group, "_c1", F.col("_lo").alias("_low"))
             .agg(F.collect_set("_rank").alias("_ranks"))  # at most two per fraction
         )
-        return match_rows(cells, wanted_ranks, [*group, *cell], "inner")
-
-    if not done:
-        fine = _fine_cell(F.col("_v"), F.col("_lo"), F.col("_hi"))
-        second = (
-            narrowed(hits, ["_c1"], small)
-            .withColumn("_c2", fine)
-            .groupBy(*group, "_c1", "_c2")
-            .agg(
-                F.count("*").alias("_n"),
-                F.min("_v").alias("_lo2"),
-                F.max("_v").alias("_hi2"),
-                *[F.max(c).alias(c) for c in ("_total", "_lo", "_hi", "_below")],
-            )
-            .withColumnsRenamed({"_lo": "_low1", "_hi": "_high1", "_lo2": "_lo", "_hi2": "_hi"})
-        )
-        second = asked(second, hits, ["_c1"])
-        hits, small, done = _kept(_ranked_cells(second, [*group, "_c1"], "_c2"))
-        answers.append(
-            hits.filter(F.col("_lo") == F.col("_hi")).select(*value, F.col("_lo").alias("_v"))
-        )
-    if not done:
-        open_cells = (
-            hits.filter(F.col("_lo") < F.col("_hi"))
-            .groupBy(*group, "_c1", "_c2")
-            .agg(*[F.max(c).alias(c) for c in ("_total", "_low1", "_high1", "_below")])
-            .withColumnRenamed("_c2", "_want")
-        )
         if small:
-            open_cells = F.broadcast(open_cells)  # counted: at most BROADCAST_CELLS rows
-        fine = _fine_cell(F.col("_v"), F.col("_low1"), F.col("_high1"))
-        third = (
-            match_rows(rows, open_cells, [*group, "_c1"], "inner")
-            .filter(fine == F.col("_want"))
-            .withColumnRenamed("_want", "_c2")
-            .groupBy(*group, "_c1", "_c2", "_v")
-            .agg(
-                F.count("*").alias("_n"),
-                F.max("_total").alias("_total"),
-                F.max("_below").alias("_below"),
-            )
+            parents = F.broadcast(parents)  # counted: at most BROADCAST_CELLS rows
+        inside = match_rows(rows, parents, [*group, "_c1"], "inner").filter(
+            (F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high"))
         )
-        third = asked(third, hits, ["_c1", "_c2"])
-        answers.append(
-            _ranked_cells(third, [*group, "_c1", "_c2"], "_v").select(*value, F.col("_v"))
+        totals = [F.count("*").alias("_n"), F.max("_total").alias("_total"), F.max("_below").alias("_below")]
+        if largest <= DIRECT_ROWS:
+            levels = inside.groupBy(*cell, "_v").agg(*totals)
+            levels = match_rows(levels, ranks_of, cell, "inner")
+            answers.append(_ranked_cells(levels, cell, "_v").select(*value, F.col("_v")))
+            break
+        slices = (
+            inside.withColumn("_c2", _fine_cell(F.col("_v"), F.col("_low"), F.col("_high")))
+            .groupBy(*cell, "_c2")
+            .agg(*totals, F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         )
+        slices = match_rows(slices, ranks_of, cell, "inner")
+        hits, small, largest = _kept(_ranked_cells(slices, cell, "_c2"))
+        answers.append(hits.filter(answered).select(*value, F.col("_lo").alias("_v")))
 
     found = reduce(lambda a, b: a.unionByName(b), answers)
     results = []

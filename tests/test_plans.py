@@ -64,6 +64,30 @@ def test_many_equal_values_resolve_without_a_second_pass(spark):
     assert (row["a"], row["b"]) == (2.0, 3.0)
 
 
+def test_large_cells_are_sliced_again(spark, monkeypatch):
+    from dockline.plans import quantiles
+
+    monkeypatch.setattr(quantiles, "DIRECT_ROWS", 3)
+    monkeypatch.setattr(quantiles, "FINE_CELLS", 4)
+    random = np.random.default_rng(5)
+    # nearly all values inside a sliver of one coarse cell, with a far neighbour in it
+    values = (1000.0 + random.random(400) * 1e-7).tolist() + [1001.0, 999.0, 5.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    row = grouped_quantiles(df, [], {"a": ("v", 0.5), "b": ("v", 0.9)}).first()
+    assert row["a"] == pytest.approx(_expected(values, 0.5), rel=1e-15)
+    assert row["b"] == pytest.approx(_expected(values, 0.9), rel=1e-15)
+
+
+def test_many_hits_stay_distributed(spark, monkeypatch):
+    from dockline.plans import quantiles
+
+    monkeypatch.setattr(quantiles, "BROADCAST_CELLS", 3)
+    df = spark.range(900).select((F.col("id") % 9).alias("k"), (F.col("id") * 1.7).alias("v"))
+    got = grouped_quantiles(df, ["k"], {"m": ("v", 0.5)}, direct_rows=0).toPandas()
+    want = df.toPandas().groupby("k").v.median()
+    assert dict(zip(got.k, got.m)) == pytest.approx(want.to_dict())
+
+
 def test_running_numbers_rows_and_sums_over_a_global_order(spark):
     df = spark.range(2000).select(
         F.col("id"), (F.col("id") % 3).alias("score"), (F.col("id") % 10).alias("x")
