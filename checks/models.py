@@ -10,7 +10,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from checks.base import also, rnd
+from checks.base import SHIP, also, rnd
+from checks.quality import MISSING, SEVERITY
 from dockline.config import DEFAULTS
 from dockline.operators import clinical, evaluation, quality, scoring, training
 from dockline.plans.ranking import use_checkpoint_dir
@@ -526,12 +527,18 @@ def _exported(kind):
         report = quality.missing_value_report(t.stored_shipments(spark, folder))
         if kind == "csv":
             files.write_csv(report, path)
-            return spark.read.option("header", True).csv(path)
+            return spark.read.option("header", True).csv(path).select("column", "missing_count", "severity")
         written = files.write_reports({"missing": report}, path)
-        return spark.read.parquet(written[0])
+        return spark.read.parquet(written[0]).drop("dtype")
 
     return build
 
 
-add("csv_export", _exported("csv"))
-add("audit_export", _exported("reports"))
+add(
+    "csv_export",
+    _exported("csv"),
+    SHIP
+    + f""", m AS ({MISSING}) SELECT "column", CAST(missing_count AS VARCHAR) AS missing_count, severity
+      FROM (SELECT *, {SEVERITY} FROM m)""",
+)
+add("audit_export", _exported("reports"), SHIP + f", m AS ({MISSING}) SELECT *, {SEVERITY} FROM m")

@@ -133,12 +133,18 @@ add(
         t.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
         ["l_orderkey", "l_linenumber"],
     ).key_examples.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("shown")),
+    """WITH d AS (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1),
+      s AS (SELECT l_orderkey, l_linenumber FROM lineitem SEMI JOIN d USING (l_orderkey, l_linenumber)
+            ORDER BY l_orderkey, l_linenumber LIMIT 5)
+      SELECT l_orderkey, l_linenumber, count(*) AS shown FROM s GROUP BY ALL""",
 )
 add(
     "repeated_text_examples",
     lambda spark, folder: quality.duplicate_report(
         t.table(spark, folder, "documents").select("text", "lang")
     ).examples,
+    """SELECT text, lang, count(*) AS copies FROM documents GROUP BY text, lang HAVING count(*) > 1
+      ORDER BY copies DESC, text LIMIT 5""",
 )
 add(
     "distinct_rows",
@@ -308,6 +314,14 @@ add(
 add(
     "quality_verdict",
     lambda spark, folder: quality.data_quality_score(t.stored_shipments(spark, folder), ["shipment_id"]).select("grade", "verdict"),
+    SHIP
+    + f""", s AS ({SHIP_SCORE}), w AS (SELECT *, least(completeness, uniqueness, validity, consistency, accuracy) AS lowest FROM s)
+      SELECT grade, 'Grade ' || grade || ' (' || printf('%.2f', overall_score) || '/100) over ' || format('{{:,}}', rows) || ' rows x '
+        || columns || ' columns. Weakest: ' || CASE lowest WHEN completeness THEN 'completeness' WHEN uniqueness THEN 'uniqueness'
+          WHEN validity THEN 'validity' WHEN consistency THEN 'consistency' ELSE 'accuracy' END || ' (' || printf('%.2f', lowest) || '). '
+        || CASE grade WHEN 'A' THEN 'fit for reporting as it is' WHEN 'B' THEN 'usable; remediate the weakest dimension first'
+          WHEN 'C' THEN 'conditional; remediate before use' WHEN 'D' THEN 'not fit for decisions; quarantine and re-ingest'
+          ELSE 'failing; trace the defect to its source' END || '.' AS verdict FROM w""",
 )
 add(
     "quality_scoreboard",
