@@ -22,7 +22,7 @@ from dockline.functions.columns import (
     whole_sum,
 )
 from dockline.plans.quantiles import grouped_quantiles
-from dockline.plans.ranking import running, settled
+from dockline.plans.ranking import running, settled, small_or_stored
 
 # Dimensions compared by default, and levels that are no real levels.
 DIMENSIONS = {
@@ -47,7 +47,7 @@ def usable_rows(df: DataFrame, dimension: str, min_size: int = DEFAULTS.min_grou
     """Rows with a known outcome whose level is real and large enough."""
     rows = df.filter(_real_level(dimension, F.col(dimension)) & F.col("is_late").isNotNull())
     kept = rows.groupBy(dimension).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_size)
-    return rows.join(kept.select(dimension), dimension, "left_semi")
+    return rows.join(small_or_stored(kept.select(dimension)), dimension, "left_semi")
 
 
 def group_rates(df: DataFrame, dimension: str, min_size: int = DEFAULTS.min_group_size) -> DataFrame:

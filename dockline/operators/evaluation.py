@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dockline.config import DEFAULTS, Settings
 from dockline.functions.columns import inline_rows, percent, rounded, tally
 from dockline.operators.comparison import crosstab
-from dockline.plans.ranking import running
+from dockline.plans.ranking import running, small_or_stored
 
 
 # --- splits ---------------------------------------------------------------------------
@@ -33,7 +33,7 @@ def with_split(
     sizes = df.groupBy(label).agg(F.count("*").alias("_size"))
     held = F.rint(F.col("_size") * test_size).cast("long")
     return (
-        ranked.join(sizes, label)
+        ranked.join(small_or_stored(sizes), label)
         .withColumn("is_test", F.col("_rank") <= held)
         .withColumn("fold", F.when(~F.col("is_test"), ((F.col("_rank") - held - 1) % folds).cast("int")))
         .drop("_rank", "_size")
@@ -116,7 +116,7 @@ def curve_points(df: DataFrame, scores: dict[str, str], actual: str = "actual")
         F.sum("positives").alias("all_positives"), F.sum("negatives").alias("all_negatives")
     )
     return (
-        placed.join(totals, "label")
+        placed.join(small_or_stored(totals), "label")
         .filter("all_positives > 0")
         .withColumns(
             {

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dockline.plans.ranking import small_or_stored
+
 
 def filter_options(df: DataFrame, fields: list[str]) -> DataFrame:
     """Distinct levels per field, for fields with more than one level."""
@@ -19,7 +21,8 @@ def filter_options(df: DataFrame, fields: list[str]) -> DataFrame:
     )
     levels = df.select(cells.alias("c")).select("c.*").filter("level is not null").distinct()
     several = levels.groupBy("field").agg(F.count("*").alias("n")).filter("n > 1")
-    return levels.join(several.select("field"), "field", "left_semi").orderBy("field", "level")
+    kept = small_or_stored(several.select("field"))
+    return levels.join(kept, "field", "left_semi").orderBy("field", "level")
 
 
 def filter_levels(df: DataFrame, selections: dict[str, list]) -> DataFrame:

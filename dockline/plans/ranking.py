@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from dockline.functions.columns import match_rows
 
+SMALL_ROWS = 20_000
+
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder the cluster names.
@@ -42,6 +44,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_or_stored(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """A join side for a table whose key may be hot: broadcast if counted small.
+
+    Up to ``limit`` rows are fetched and sent to every task, so the other side is
+    not shuffled on a key with few levels; a longer frame is stored and joined
+    by shuffle.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return settled(df)
+
+
 def running(
     df: DataFrame,
     order: list[Column],
@@ -74,8 +89,8 @@ def running(
         "_chunk",
         *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in names],
     )
-    if not keys:
-        offsets = F.broadcast(offsets)  # one row per chunk: bounded by the partition count
+    # one row per chunk without keys; with keys at most one more per key
+    offsets = small_or_stored(offsets) if keys else F.broadcast(offsets)
     joined = match_rows(ranged, offsets, [*keys, "_chunk"], "inner")
     local = W.partitionBy(*keys, "_chunk").orderBy(*order)
     upto = local.rowsBetween(W.unboundedPreceding, 0)

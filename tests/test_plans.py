@@ -108,3 +108,12 @@ def test_running_restarts_per_key_and_splits_a_hot_key(spark):
         assert list(ordered["rn"]) == list(range(1, len(part) + 1))
     chunks = running(df, [F.col("id")], keys=["k"], row_number="rn", chunks=4)
     assert chunks.count() == 3000
+
+
+def test_a_join_side_is_broadcast_only_when_counted_small(spark):
+    from dockline.plans.ranking import small_or_stored
+
+    df = spark.range(50)
+    assert small_or_stored(df, 50).count() == 50
+    stored = small_or_stored(df, 10)
+    assert stored.count() == 50 and "ResolvedHint" not in stored._jdf.queryExecution().logical().toString()
