@@ -318,6 +318,13 @@ add(
         FROM strata, e""",
     ),
 )
+add(
+    "stratified_gaps_by_region",
+    lambda spark, folder: comparison.stratified_comparison(
+        _dated(spark, folder), by="region", p_values=False
+    ).strata,
+    also(STRATA.replace("SELECT era AS stratum", "SELECT region AS stratum"), "SELECT * FROM strata"),
+)
 add("stratified_by_region", lambda spark, folder: comparison.stratified_comparison(_dated(spark, folder), by="region").strata)
 add(
     "penalty_value",
