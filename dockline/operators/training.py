@@ -186,14 +186,21 @@ def with_class_columns(scored: DataFrame, labels: list[str]) -> DataFrame:
     ).drop("_shares")
 
 
-def feature_importance(model: PipelineModel, frame: DataFrame) -> DataFrame:
-    """Importance per input with readable names, largest first."""
+def feature_importance(model: PipelineModel, frame: DataFrame, numeric: list[str]) -> DataFrame:
+    """Importance per input with readable names, largest first.
+
+    Scaling drops the input names, so its outputs are named from ``numeric``.
+    """
     fitted = model.stages[-1]
     names: dict[int, str] = {}
     attributes = model.transform(frame.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
     for kind in attributes.values():
         for attribute in kind:
-            names[attribute["idx"]] = attribute["name"]
+            names[attribute["idx"]] = attribute["name"].replace("_levels_", "_")
+    for place, name in names.items():
+        prefix, _, number = name.rpartition("_")
+        if prefix in ("scaled", "numbers") and number.isdigit():
+            names[place] = numeric[int(number)]
     spark = frame.sparkSession
     if not hasattr(fitted, "featureImportances"):
         vectors = [m.featureImportances.toArray() for m in fitted.models]
@@ -293,7 +300,7 @@ def train_classifier(
         comparison,
         scored_test,
         evaluation.classification_metrics(scored_test, "label", "predicted"),
-        feature_importance(model, train),
+        feature_importance(model, train, numeric),
         metadata,
     )
 

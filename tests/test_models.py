@@ -114,6 +114,8 @@ def test_fitted_model_contract(trained):
     matrix = evaluation.confusion_matrix(trained.scored_test, trained.labels, "label", "predicted").toPandas()
     assert matrix[trained.labels].to_numpy().sum() == trained.scored_test.count()
     assert trained.importance.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
+    names = {r["feature"] for r in trained.importance.collect()}
+    assert {"Age", "Na_to_K", "BP_HIGH", "Sex_F"} <= names
     assert trained.metrics.first()["accuracy"] > 0.5
 
 
