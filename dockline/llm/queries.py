@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dockline.llm import bpe, quality
+from dockline.llm import bpe, minhash, quality
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -24,9 +24,14 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents"))
 
 
+def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"), size=2, percent=80)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op7_minhash": op7_minhash,
 }
 
 ORACLES = {
@@ -56,4 +61,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * n_symbols <= 10 * n_words
        AND 100 * n_dup_lines <= 30 * n_lines AND 3 * n_words <= word_chars AND word_chars <= 12 * n_words AS kept
 FROM f""",
+    "op7_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws
+                      ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS s
+  FROM w),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM flat a JOIN flat b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN low USING (doc_id)""",
 }
