@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockline.llm import bpe, minhash, quality, superkmer
+from dockline.llm import bpe, digest, minhash, quality, superkmer
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -34,11 +34,16 @@ def op8_super_kmers(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_digest(spark: SparkSession, folder: str) -> DataFrame:
+    return digest.fingerprints(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op7_minhash": op7_minhash,
     "op8_super_kmers": op8_super_kmers,
+    "op9_digest": op9_digest,
 }
 
 ORACLES = {
