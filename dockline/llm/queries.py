@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockline.llm import bpe, digest, minhash, quality, superkmer
+from dockline.llm import bpe, digest, minhash, mixing, quality, superkmer
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -38,15 +38,81 @@ def op9_digest(spark: SparkSession, folder: str) -> DataFrame:
     return digest.fingerprints(_table(spark, folder, "documents"))
 
 
+# target weights of the production mixture; a name that is not listed weighs 1
+MIX_WEIGHTS = {
+    "domain": {"web": 0.5, "books": 1.5},
+    "lang": {"en": 2.0},
+    "source": {"src0": 0.5},
+}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.75, 2, 17
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    return mixing.mixed(docs, weights=MIX_WEIGHTS, domain=mixing.domain_of(), budget_share=MIX_SHARE,
+                        max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+
+
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(_table(spark, folder, "documents")).drop("_th")
+
+
+def _mixing_sql() -> str:
+    """The same allocation level by level, then one running sum over each whole leaf."""
+    parts, given = [], "SELECT 1 AS top, CAST(floor(sum(tokens) * {s}) AS BIGINT) AS pb FROM leaves".format(s=MIX_SHARE)
+    for depth, level in enumerate(mixing.LEVELS):
+        own, above = ", ".join(mixing.LEVELS[: depth + 1]), ", ".join(mixing.LEVELS[:depth]) or "top"
+        cases = " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in MIX_WEIGHTS[level].items())
+        over = f"OVER (PARTITION BY {above} ORDER BY ratio, {level} ROWS BETWEEN "
+        top = "" if depth else "1 AS top, "
+        parts.append(f"""
+g{depth} AS ({given}),
+n{depth} AS (
+  SELECT {top}{own}, CAST(sum(tokens) * {MIX_EPOCHS} AS BIGINT) AS capacity, CAST(sum(tokens) AS BIGINT) AS tokens,
+         CAST(CASE {cases} ELSE 1 END AS DOUBLE) AS w
+  FROM leaves GROUP BY {own}),
+r{depth} AS (
+  SELECT *, greatest(pb - coalesce(sum(capacity) {over}UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS rest,
+         sum(w) {over}CURRENT ROW AND UNBOUNDED FOLLOWING) AS opened
+  FROM (SELECT *, capacity / w AS ratio FROM n{depth} JOIN g{depth} USING ({above}))),
+l{depth} AS (
+  SELECT {above}, arg_min(rest, (ratio, {level})) AS rest0, arg_min(opened, (ratio, {level})) AS open0
+  FROM r{depth} WHERE capacity > rest * w / opened GROUP BY {above}),
+b{depth} AS (
+  SELECT {own}, tokens, CAST(floor(least(capacity::DOUBLE, coalesce(rest0 * w / open0, capacity::DOUBLE)) + 1e-6) AS BIGINT) AS budget
+  FROM r{depth} LEFT JOIN l{depth} USING ({above}))""")
+        given = f"SELECT {own}, budget AS pb FROM b{depth}"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         CASE WHEN regexp_matches(source, '[0-2]$') THEN 'web' WHEN regexp_matches(source, '[3-5]$') THEN 'books'
+              WHEN regexp_matches(source, '[67]$') THEN 'news' ELSE 'other' END AS domain,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM d GROUP BY ALL),{",".join(parts)},
+placed AS (
+  SELECT d.*, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole,
+         CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest
+  FROM d JOIN b2 USING (domain, lang, source)),
+run AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (
+    PARTITION BY domain, lang, source ORDER BY md5('{MIX_SEED}:' || whole || ':' || doc_id)
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN before < rest THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM run"""
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op7_minhash": op7_minhash,
     "op8_super_kmers": op8_super_kmers,
     "op9_digest": op9_digest,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
+    "op10_mixing": _mixing_sql(),
     "op5_quality_rules": r"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text,
