@@ -148,11 +148,15 @@ def keyed(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Dat
     )
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder, which driver and executors share."""
+    use_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written as Parquet to the shared checkpoint folder and read again."""
-    spark = df.sparkSession
-    use_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockline.llm import bpe, digest, minhash, mixing, quality, superkmer
+from dockline.llm import bpe, digest, minhash, mixing, quality, superkmer, warc
+from dockline.llm.common import shared_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,6 +22,10 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.converted(_table(spark, folder, "pages"), shared_path(spark, "warc"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents"))
 
@@ -104,6 +109,7 @@ FROM run"""
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_warc": op3_warc,
     "op5_quality_rules": op5_quality_rules,
     "op7_minhash": op7_minhash,
     "op8_super_kmers": op8_super_kmers,
@@ -112,6 +118,15 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_warc": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS h
+  FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM g""",
     "op10_mixing": _mixing_sql(),
     "op5_quality_rules": r"""
 WITH base AS (
