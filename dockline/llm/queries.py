@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockline.llm import bpe, digest, minhash, mixing, quality, superkmer, warc
+from dockline.llm import bpe, digest, lines, minhash, mixing, quality, superkmer, warc
 from dockline.llm.common import shared_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,6 +22,14 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.without_repeats(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.converted(_table(spark, folder, "pages"), shared_path(spark, "warc"))
 
@@ -109,6 +117,7 @@ FROM run"""
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op5_quality_rules": op5_quality_rules,
     "op7_minhash": op7_minhash,
@@ -118,6 +127,25 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
+         unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS p FROM documents),
+worded AS (
+  SELECT doc_id, x, p, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k
+  FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+pairs AS (
+  SELECT a.doc_id, a.k, row_number() OVER (PARTITION BY a.x, b.x ORDER BY a.doc_id, a.k) AS r
+  FROM worded a JOIN worded b ON a.doc_id = b.doc_id AND b.k = a.k + 1),
+gone AS (
+  SELECT DISTINCT w.doc_id, w.p FROM pairs q JOIN worded w ON w.doc_id = q.doc_id AND w.k IN (q.k, q.k + 1) WHERE q.r > 1),
+kept AS (
+  SELECT l.doc_id, string_agg(x, chr(10) ORDER BY p) AS t FROM l ANTI JOIN gone USING (doc_id, p) GROUP BY l.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM worded GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS m FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(m, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "op3_warc": """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS h
