@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockline.llm import bpe, digest, lines, minhash, mixing, quality, superkmer, warc
+from dockline.llm import bpe, digest, licenses, lines, minhash, mixing, quality, superkmer, warc
 from dockline.llm.common import shared_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -34,6 +34,50 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.converted(_table(spark, folder, "pages"), shared_path(spark, "warc"))
 
 
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    path = F.concat_ws("/", F.lit(""), "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scanned(docs.select("doc_id", path.alias("path"), "text"))
+
+
+def _license_sql() -> str:
+    weights, rare = licenses.term_weights()
+    known = ", ".join(f"('{t}', {w!r}e0)" for t, w in weights.items())
+    shares = ", ".join(
+        f"({k}, '{name}', '{t}', {v!r}e0)" for k, name, vector in licenses.template_vectors() for t, v in vector.items())
+    return f"""
+WITH known(term, idf) AS (VALUES {known}), shares(template, name, term, share) AS (VALUES {shares}),
+f AS (
+  SELECT doc_id, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, '/' || source || '/' || lang AS dir,
+         translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}') AS text FROM documents),
+u AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS unit FROM f
+  UNION ALL SELECT doc_id, text, -1 FROM f),
+t AS (
+  SELECT doc_id, unit, term, count(*) AS n
+  FROM (SELECT doc_id, unit, unnest(regexp_extract_all(x, '{licenses.TERM}')) AS term FROM u) GROUP BY ALL),
+w AS (SELECT doc_id, unit, t.term, n * coalesce(idf, {rare!r}e0) AS w FROM t LEFT JOIN known USING (term)),
+size AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS size FROM w GROUP BY ALL),
+dots AS (SELECT doc_id, unit, template, name, sum(w * share) AS dot FROM w JOIN shares USING (term) GROUP BY ALL),
+best AS (
+  SELECT doc_id, unit, arg_max(template, (round(dot / size, 6), -template)) AS template,
+         arg_max(name, (round(dot / size, 6), -template)) AS name, max(round(dot / size, 6)) AS score
+  FROM dots JOIN size USING (doc_id, unit) GROUP BY ALL HAVING max(round(dot / size, 6)) >= {licenses.THRESHOLD}),
+own AS (
+  SELECT doc_id, coalesce(any_value(name) FILTER (unit < 0), arg_max(name, (score, -unit)) FILTER (unit >= 0)) AS name,
+         coalesce(any_value(score) FILTER (unit < 0), max(score) FILTER (unit >= 0)) AS score, bool_or(unit < 0) AS is_file
+  FROM best GROUP BY doc_id),
+holder AS (
+  SELECT dir, arg_min(name, (-score, path)) AS hname, min(path) AS any_path, arg_min(path, (-score, path)) AS hpath,
+         max(score) AS hscore
+  FROM own JOIN f USING (doc_id) WHERE is_file GROUP BY dir)
+SELECT doc_id, path, coalesce(name, hname) AS license, coalesce(score, hscore) AS license_score,
+       CASE WHEN name IS NOT NULL AND is_file THEN 'file' WHEN name IS NOT NULL THEN 'header'
+            WHEN hname IS NOT NULL THEN 'inherited' END AS license_by,
+       CASE WHEN name IS NULL THEN hpath END AS license_from
+FROM f LEFT JOIN own USING (doc_id) LEFT JOIN holder USING (dir)"""
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents"))
 
@@ -119,6 +163,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
+    "op4_licenses": op4_licenses,
     "op5_quality_rules": op5_quality_rules,
     "op7_minhash": op7_minhash,
     "op8_super_kmers": op8_super_kmers,
@@ -155,6 +200,7 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
 FROM g""",
+    "op4_licenses": _license_sql(),
     "op10_mixing": _mixing_sql(),
     "op5_quality_rules": r"""
 WITH base AS (
