@@ -38,72 +38,80 @@ IMAGE_IDS = 1 << 22
 LANES = 1024
 PIECES = 250_000
 
-ORDER2_BITS, ORDER1_BITS = 12, 11
-DIGIT_CONTEXTS = 1024
+ORDER2_BITS, ORDER1_BITS = 11, 10
+DIGIT_CONTEXTS = 512
 GAIN, MOST = 24, 4000
 RATE = 5
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+MOST_WEIGHT = 1 << 17
+# three coding steps of 12 bits each fit between two settlements
+TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 44)
 _unit = np.uint64(16)
 
 _p = (np.arange(4096) + 0.5) / 4096
-STRETCH = np.round(np.log(_p / (1 - _p)) * 256).astype(np.int64)
-SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 1, 4095).astype(np.int64)
+STRETCH = np.round(np.log(_p / (1 - _p)) * 256).astype(np.int32)
+SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 1, 4095).astype(np.int32)
+SURER = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.int32)  # confidence after a wrong and after a right guess
+ADDED = (GAIN * (np.arange(17)[None, :] > np.arange(16)[:, None])).astype(np.uint16)
 
 
 class Model:
-    """State of n blocks."""
+    """State of n blocks. Tables of all blocks lie in flat arrays, addressed by lane."""
 
     def __init__(self, n: int, digits: int):
-        self.lane = np.arange(n)
+        lane = np.arange(n)
         self.last = np.zeros(n, np.int64)
         self.before = np.zeros(n, np.int64)
-        self.id2 = np.zeros((n, 1 << ORDER2_BITS), np.int32)
-        self.id1 = np.zeros((n, 1 << ORDER1_BITS), np.int32)
-        self.sure2 = np.zeros((n, 1 << ORDER2_BITS), np.uint8)
-        self.sure1 = np.zeros((n, 1 << ORDER1_BITS), np.uint8)
-        self.rates = np.full((n, 4 + 8 + 1), 1 << 14, np.int64)  # 16-bit probabilities
-        self.weights = np.full((n, 3), 22000, np.int64)  # 65536 is 1
+        self.base2, self.base1, self.base0 = lane << ORDER2_BITS, lane << ORDER1_BITS, lane * 13
+        self.seen2 = np.zeros(n << ORDER2_BITS, np.int32)  # id << 2 | confidence
+        self.seen1 = np.zeros(n << ORDER1_BITS, np.int32)
+        self.rates = np.full(n * 13, 1 << 14, np.int32)  # 16-bit probabilities: 4 by order 2, 8 by order 1, 1 at large
+        self.weights = [np.full(n, 22000, np.int32) for _ in range(3)]  # 65536 is 1
         self.digits = digits
-        self.counts = [np.ones((n, min(16**d, DIGIT_CONTEXTS), 16), np.uint16) for d in range(digits)]
+        # running counts of the 16 digits, from 0 to the total, for each lane and context
+        self.contexts = [min(16**d, DIGIT_CONTEXTS) for d in range(digits)]
+        self.counts = [np.tile(np.arange(17, dtype=np.uint16), (n * c, 1)) for c in self.contexts]
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """Candidate id of each lane and its probability in 4096ths."""
-        self.at2 = ((self.last * 0x9E3779B1 + self.before * 0x85EBCA6B) >> 8) & ((1 << ORDER2_BITS) - 1)
-        self.at1 = ((self.last * 0x9E3779B1) >> 8) & ((1 << ORDER1_BITS) - 1)
-        self.guess2, self.guess1 = self.id2[self.lane, self.at2], self.id1[self.lane, self.at1]
-        sure2, sure1 = self.sure2[self.lane, self.at2], self.sure1[self.lane, self.at1]
-        self.candidate = np.where(sure2 > 0, self.guess2, self.guess1)
-        agree = self.candidate == self.guess1
-        self.slots = np.stack([sure2.astype(np.int64), 4 + 2 * sure1.astype(np.int64) + agree, np.full(len(self.lane), 12)], axis=1)
-        self.rate = np.take_along_axis(self.rates, self.slots, axis=1)
-        self.inputs = STRETCH[self.rate >> 4]
-        dot = (self.weights * self.inputs).sum(axis=1) >> 16
-        self.odds = SQUASH[np.clip(dot, -2048, 2047) + 2048]
-        return self.candidate, self.odds
+        mixed = self.last * 0x9E3779B1
+        self.at2 = self.base2 + (mixed + self.before * 0x85EBCA6B >> 8 & (1 << ORDER2_BITS) - 1)
+        self.at1 = self.base1 + (mixed >> 8 & (1 << ORDER1_BITS) - 1)
+        held2, held1 = self.seen2.take(self.at2), self.seen1.take(self.at1)
+        self.guess2, self.guess1, self.sure2, self.sure1 = held2 >> 2, held1 >> 2, held2 & 3, held1 & 3
+        candidate = np.where(self.sure2 > 0, self.guess2, self.guess1)
+        self.slots = (self.base0 + self.sure2, self.base0 + (self.sure1 * 2 + (candidate == self.guess1) + 4), self.base0 + 12)
+        self.rate = [self.rates.take(slot) for slot in self.slots]
+        self.inputs = [STRETCH.take(rate >> 4) for rate in self.rate]
+        dot = sum(w * x for w, x in zip(self.weights, self.inputs, strict=True)) >> 16
+        self.odds = SQUASH.take(np.minimum(np.maximum(dot, -2048), 2047) + 2048)
+        return candidate, self.odds
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        error = np.where(hit, 4096, 0) - self.odds
-        self.weights += (self.inputs * error[:, None]) >> 10
-        goal = np.where(hit, 65535, 0)[:, None]
-        np.put_along_axis(self.rates, self.slots, self.rate + ((goal - self.rate) >> RATE), axis=1)
-        for guess, table, sure, at in ((self.guess2, self.id2, self.sure2, self.at2), (self.guess1, self.id1, self.sure1, self.at1)):
-            known = sure[self.lane, at]
+        error = (hit << 12) - self.odds
+        goal = hit * 65535
+        for weight, value, slot, rate in zip(self.weights, self.inputs, self.slots, self.rate, strict=True):
+            weight += value * error >> 10
+            np.minimum(np.maximum(weight, -MOST_WEIGHT, out=weight), MOST_WEIGHT, out=weight)
+            self.rates[slot] = rate + (goal - rate >> RATE)
+        for guess, sure, table, at in ((self.guess2, self.sure2, self.seen2, self.at2), (self.guess1, self.sure1, self.seen1, self.at1)):
             same = guess == ids
-            sure[self.lane, at] = np.where(same, np.minimum(known + 1, 3), np.where(known > 1, known - 1, 1))
-            table[self.lane, at] = np.where(same | (known > 1), guess, ids)
+            table[at] = np.where(same | (sure > 1), guess, ids) << 2 | SURER.take(sure + 4 * same)
         self.before, self.last = self.last, ids.astype(np.int64)
 
-    def row(self, digit: int, lanes: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        context = prefix if 16**digit <= DIGIT_CONTEXTS else (prefix * 0x9E3779B1 >> 7) & (DIGIT_CONTEXTS - 1)
-        counts = self.counts[digit][lanes, context].astype(np.int64)
-        return context, counts, np.cumsum(counts, axis=1)
+    def row(self, digit: int, lanes: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the table, running counts) under the digits before this one."""
+        number = self.contexts[digit]
+        context = prefix if 16**digit <= DIGIT_CONTEXTS else prefix * 0x9E3779B1 >> 7 & DIGIT_CONTEXTS - 1
+        at = lanes * number + context
+        return at, self.counts[digit].take(at, axis=0)
 
-    def count(self, digit: int, lanes: np.ndarray, context: np.ndarray, counts: np.ndarray, value: np.ndarray, total: np.ndarray) -> None:
-        counts[np.arange(len(lanes)), value] += GAIN
-        full = total + GAIN > MOST
-        if full.any():
-            counts[full] -= counts[full] >> 1
-        self.counts[digit][lanes, context] = counts
+    def count(self, digit: int, at: np.ndarray, upto: np.ndarray, value: np.ndarray) -> None:
+        upto += ADDED.take(value, axis=0)
+        full = np.flatnonzero(upto[:, 16] > MOST)
+        if len(full):
+            own = np.diff(upto[full].astype(np.int64), axis=1)
+            upto[full, 1:] = np.cumsum(own - (own >> 1), axis=1)
+        self.counts[digit][at] = upto
 
 
 def encode_blocks(ids: np.ndarray, digits: int) -> list[bytes]:
@@ -113,18 +121,19 @@ def encode_blocks(ids: np.ndarray, digits: int) -> list[bytes]:
     low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
     out, size = np.zeros((n, steps + 64), np.uint16), np.zeros(n, np.int64)
 
-    def settle(lanes: np.ndarray) -> None:
+    def settle(lanes: np.ndarray | None) -> None:
         nonlocal out
-        while len(lanes):
-            own, width = low[lanes], span[lanes]
+        while True:
+            own, width = (low, span) if lanes is None else (low.take(lanes), span.take(lanes))
             fixed = (own ^ (own + width)) < TOP
-            tight = ~fixed & (width < BOTTOM)
-            move = fixed | tight
-            if not move.any():
+            move = np.flatnonzero(fixed | (width < BOTTOM))
+            if not len(move):
                 return
-            if tight.any():
-                span[lanes[tight]] = (~own[tight] + np.uint64(1)) & (BOTTOM - np.uint64(1))
-            lanes = lanes[move]
+            tight = move[~fixed[move]]
+            some = move if lanes is None else lanes[move]
+            if len(tight):
+                span[tight if lanes is None else lanes[tight]] = (~own[tight] + np.uint64(1)) & (BOTTOM - np.uint64(1))
+            lanes = some
             if size[lanes].max() >= out.shape[1]:
                 out = np.concatenate([out, np.zeros_like(out)], axis=1)
             out[lanes, size[lanes]] = low[lanes] >> np.uint64(48)
@@ -132,36 +141,37 @@ def encode_blocks(ids: np.ndarray, digits: int) -> list[bytes]:
             low[lanes] <<= _unit
             span[lanes] <<= _unit
 
-    everyone = np.arange(n)
+    columns = np.ascontiguousarray(ids.T)
     for step in range(steps):
-        now = ids[:, step]
+        now = columns[step]
+        settle(None)
         candidate, odds = model.predict()
         hit = now == candidate
         part = (span >> np.uint64(12)) * odds.astype(np.uint64)
         low += np.where(hit, np.uint64(0), part)
         span = np.where(hit, part, span - part)
-        settle(everyone)
         miss = np.flatnonzero(~hit)
         if len(miss):
             value = now[miss].astype(np.int64)
-            place = np.arange(len(miss))
+            place = np.arange(len(miss)) * 17
             for digit in range(digits):
                 shift = 4 * (digits - 1 - digit)
-                prefix, own = value >> (shift + 4), (value >> shift) & 15
-                context, counts, upto = model.row(digit, miss, prefix)
-                total, many = upto[:, 15], counts[place, own]
-                share = span[miss] // total.astype(np.uint64)
-                low[miss] += share * (upto[place, own] - many).astype(np.uint64)
-                span[miss] = share * many.astype(np.uint64)
-                model.count(digit, miss, context, counts, own, total)
-                if digit % 2 or digit == digits - 1:
+                own = value >> shift & 15
+                at, upto = model.row(digit, miss, value >> shift + 4)
+                flat = upto.ravel()
+                below = flat.take(place + own).astype(np.uint64)
+                many = flat.take(place + (own + 1)).astype(np.uint64) - below
+                share = span.take(miss) // upto[:, 16]
+                low[miss] += share * below
+                span[miss] = share * many
+                model.count(digit, at, upto, own)
+                if digit % 2 and digit < digits - 1:
                     settle(miss)
         model.learn(now, hit)
-    streams = []
-    for lane in range(n):
-        tail = int(low[lane]).to_bytes(8, "big")
-        streams.append(out[lane, : size[lane]].astype(">u2").tobytes() + tail)
-    return streams
+    settle(None)
+    return [
+        out[lane, : size[lane]].astype(">u2").tobytes() + int(low[lane]).to_bytes(8, "big") for lane in range(n)
+    ]
 
 
 def decode_blocks(streams: list[bytes], steps: int, digits: int) -> np.ndarray:
@@ -169,61 +179,65 @@ def decode_blocks(streams: list[bytes], steps: int, digits: int) -> np.ndarray:
     n = len(streams)
     model = Model(n, digits)
     longest = max(len(s) for s in streams) // 2 + 8
-    units = np.zeros((n, longest), np.uint64)
+    units = np.zeros((n, longest), np.uint16)
     for lane, stream in enumerate(streams):
         got = np.frombuffer(stream, ">u2")
         units[lane, : len(got)] = got
     low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    code = units[:, 0] << np.uint64(48) | units[:, 1] << np.uint64(32) | units[:, 2] << np.uint64(16) | units[:, 3]
-    at = np.full(n, 4, np.int64)
-    ids = np.zeros((n, steps), np.int32)
-
-    def settle(lanes: np.ndarray) -> None:
-        while len(lanes):
-            own, width = low[lanes], span[lanes]
+    code = np.zeros(n, np.uint64)
+    for k in range(4):
+        code = code << _unit | units[:, k]
+    at_unit = np.full(n, 4, np.int64)
+    ids = np.zeros((steps, n), np.int32)
+
+    def settle(lanes: np.ndarray | None) -> None:
+        while True:
+            own, width = (low, span) if lanes is None else (low.take(lanes), span.take(lanes))
             fixed = (own ^ (own + width)) < TOP
-            tight = ~fixed & (width < BOTTOM)
-            move = fixed | tight
-            if not move.any():
+            move = np.flatnonzero(fixed | (width < BOTTOM))
+            if not len(move):
                 return
-            if tight.any():
-                span[lanes[tight]] = (~own[tight] + np.uint64(1)) & (BOTTOM - np.uint64(1))
-            lanes = lanes[move]
-            code[lanes] = code[lanes] << _unit | units[lanes, np.minimum(at[lanes], longest - 1)]
-            at[lanes] += 1
+            tight = move[~fixed[move]]
+            some = move if lanes is None else lanes[move]
+            if len(tight):
+                span[tight if lanes is None else lanes[tight]] = (~own[tight] + np.uint64(1)) & (BOTTOM - np.uint64(1))
+            lanes = some
+            code[lanes] = code[lanes] << _unit | units[lanes, np.minimum(at_unit[lanes], longest - 1)]
+            at_unit[lanes] += 1
             low[lanes] <<= _unit
             span[lanes] <<= _unit
 
-    everyone = np.arange(n)
     for step in range(steps):
+        settle(None)
         candidate, odds = model.predict()
         part = (span >> np.uint64(12)) * odds.astype(np.uint64)
         hit = code - low < part
         low += np.where(hit, np.uint64(0), part)
         span = np.where(hit, part, span - part)
-        settle(everyone)
-        now = candidate.copy()
+        now = candidate.astype(np.int32)
         miss = np.flatnonzero(~hit)
         if len(miss):
             value = np.zeros(len(miss), np.int64)
-            place = np.arange(len(miss))
+            place = np.arange(len(miss)) * 17
             for digit in range(digits):
-                context, counts, upto = model.row(digit, miss, value)
-                total = upto[:, 15]
-                share = span[miss] // total.astype(np.uint64)
-                target = np.minimum((code[miss] - low[miss]) // share, (total - 1).astype(np.uint64)).astype(np.int64)
-                own = (upto <= target[:, None]).sum(axis=1)
-                many = counts[place, own]
-                low[miss] += share * (upto[place, own] - many).astype(np.uint64)
-                span[miss] = share * many.astype(np.uint64)
-                model.count(digit, miss, context, counts, own, total)
-                if digit % 2 or digit == digits - 1:
+                at, upto = model.row(digit, miss, value)
+                flat = upto.ravel()
+                total = upto[:, 16]
+                share = span.take(miss) // total
+                target = np.minimum((code.take(miss) - low.take(miss)) // share, total - np.uint64(1)).astype(np.uint16)
+                own = np.count_nonzero(upto[:, 1:16] <= target[:, None], axis=1)
+                below = flat.take(place + own).astype(np.uint64)
+                many = flat.take(place + (own + 1)).astype(np.uint64) - below
+                low[miss] += share * below
+                span[miss] = share * many
+                model.count(digit, at, upto, own)
+                if digit % 2 and digit < digits - 1:
                     settle(miss)
                 value = value << 4 | own
             now[miss] = value
-        ids[:, step] = now
+        ids[step] = now
         model.learn(now, hit)
-    return ids
+    return ids.T
 
 
 def write_image(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
