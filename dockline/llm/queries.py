@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockline.llm import bpe, digest, licenses, lines, minhash, mixing, quality, superkmer, warc
+from dockline.llm import bpe, digest, idcoder, licenses, lines, minhash, mixing, quality, superkmer, warc
 from dockline.llm.common import shared_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -82,6 +83,12 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents"))
 
 
+def op6_id_coder(spark: SparkSession, folder: str) -> DataFrame:
+    return idcoder.round_trip(
+        _table(spark, folder, "documents"), shared_path(spark, "ids"), WORD_TOKENIZER, 1, keep_ids=False
+    )
+
+
 def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), size=2, percent=80)
 
@@ -165,6 +172,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_licenses": op4_licenses,
     "op5_quality_rules": op5_quality_rules,
+    "op6_id_coder": op6_id_coder,
     "op7_minhash": op7_minhash,
     "op8_super_kmers": op8_super_kmers,
     "op9_digest": op9_digest,
