@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockline.llm import bpe, lines, minhash, quality
-from dockline.llm.common import stored
+from dockline.llm.common import LOWEST, stored
 from dockline.llm.queries import BYTE_RANKS, mixture
 
 
@@ -38,11 +38,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
     plan = mixture(docs).filter("copies > 0").select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), "_th", "copies").distinct()
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(
-        "_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    taken = keyed.join(plan, ["_id", "_th"])
-    return taken.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+        F.struct(F.coalesce("doc_id", F.lit(LOWEST)), "_th").alias("_key"), F.sequence(F.lit(1), F.col("copies")).alias("_epochs")
+    ).distinct()
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), F.xxhash64(F.coalesce("text", F.lit(""))))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"))
+    return packed.join(plan, "_key").select("_row", F.explode("_epochs")).select("_row.*")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
