@@ -289,7 +289,7 @@ STRATA = f"""{ERA}, r AS ({rates_sql('fulfil_via')}),
   e AS (SELECT arg_max(level, (on_time_pct, level)) AS high, arg_min(level, (on_time_pct, level)) AS low, count(*) AS levels,
     arg_max(n, (on_time_pct, level)) AS n_high, arg_min(n, (on_time_pct, level)) AS n_low,
     100.0 * (1 - arg_max(late, (on_time_pct, level)) / arg_max(n, (on_time_pct, level)))
-      - 100.0 * (1 - arg_min(late, (on_time_pct, level)) / arg_min(n, (on_time_pct, level))) AS pooled FROM r),
+      - 100.0 * (1 - arg_min(late, (on_time_pct, level)) / arg_min(n, (on_time_pct, level))) AS pooled, max(on_time_pct) AS on_high, min(on_time_pct) AS on_low FROM r),
   w AS (SELECT era AS stratum, count_if(fulfil_via = high) AS n_high, count_if(fulfil_via = low) AS n_low,
     count_if(fulfil_via = high AND is_late = 1) AS late_high, count_if(fulfil_via = low AND is_late = 1) AS late_low
     FROM dated, e WHERE is_late IS NOT NULL GROUP BY 1),
@@ -312,7 +312,9 @@ add(
         STRATA,
         f"""SELECT any_value(levels) AS levels, any_value(high) AS level_high, any_value(low) AS level_low, any_value(e.n_high) AS n_high,
           any_value(e.n_low) AS n_low, count(*) AS strata, max(gap_pp) > 0 AND min(gap_pp) < 0 AS is_sign_flip,
-          max(gap_pp) AS widest_gap_pp, min(gap_pp) AS narrowest_gap_pp, {rnd('any_value(pooled)', 2)} AS pooled_gap_pp,
+          max(gap_pp) AS widest_gap_pp, min(gap_pp) AS narrowest_gap_pp,
+          arg_max(stratum, (gap_pp, stratum)) AS widest_stratum, arg_min(stratum, (gap_pp, stratum)) AS narrowest_stratum,
+          any_value(on_high) AS on_time_high, any_value(on_low) AS on_time_low, {rnd('any_value(pooled)', 2)} AS pooled_gap_pp,
           {rnd('max(gap_pp) - min(gap_pp)', 2)} AS gap_range_pp,
           (max(gap_pp) - min(gap_pp) > 0.5 * abs(any_value(pooled))) OR (max(gap_pp) > 0 AND min(gap_pp) < 0) AS interaction_detected
         FROM strata, e""",

@@ -429,7 +429,8 @@ add(
         SCORED,
         f""" SELECT shipment_id, po_number, CASE WHEN score >= 0.5 THEN 'Late' ELSE 'On Time' END AS prediction, {rnd('score', 4)} AS late_probability,
           CASE WHEN score >= 0.35 THEN 'High' WHEN score >= 0.20 THEN 'Elevated' ELSE 'Low' END AS risk_band,
-          CASE WHEN len({_drivers}) > 0 THEN 'Drivers: ' || array_to_string({_drivers}, '; ') || '.' ELSE 'No dominant driver.' END AS explanation
+          'Late with probability ' || printf('%.1f', {rnd('100.0 * score', 1)}) || ' % (' || CASE WHEN score >= 0.35 THEN 'high' WHEN score >= 0.20 THEN 'elevated' ELSE 'low' END
+          || ' risk). ' || CASE WHEN len({_drivers}) > 0 THEN 'Drivers: ' || array_to_string({_drivers}, '; ') || '.' ELSE 'No dominant driver.' END AS explanation
         FROM scored""",
     ),
 )

@@ -33,10 +33,15 @@ def percent(numerator: Column, denominator: Column, places: int = 4) -> Column:
 
 
 def money_sum(value: Column | str) -> Column:
-    """Sum of amounts in exact cents; the same whatever order tasks finish in."""
-    column = F.col(value) if isinstance(value, str) else value
-    total = F.sum(column.cast("decimal(18,2)")).cast("double")
-    return F.coalesce(total, F.lit(0.0))
+    """Sum of amounts with all their digits, 0 for a group of nulls.
+
+    Whole cents are added exactly, so money does not depend on the order in which
+    tasks finish; what an amount has beyond cents, or above 10^15, is added apart.
+    """
+    column = (F.col(value) if isinstance(value, str) else value).cast("double")
+    cents = F.when(F.abs(column) < F.lit(1e15), column.cast("decimal(18,2)"))
+    rest = column - F.coalesce(cents.cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(cents).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(rest), F.lit(0.0))
 
 
 def whole_sum(value: Column | str) -> Column:

@@ -566,6 +566,8 @@ def stratified_comparison(
         F.coalesce(F.max(gap > 0) & F.max(gap < 0), F.lit(False)).alias("is_sign_flip"),
         F.max(gap).alias("widest_gap_pp"),
         F.min(gap).alias("narrowest_gap_pp"),
+        F.max_by(F.col("stratum").cast("string"), F.struct(gap, F.col("stratum").cast("string"))).alias("widest_stratum"),
+        F.min_by(F.col("stratum").cast("string"), F.struct(gap, F.col("stratum").cast("string"))).alias("narrowest_stratum"),
     )
     best_rate = 100.0 * (1 - F.col("best_late") / F.col("best_n"))
     worst_rate = 100.0 * (1 - F.col("worst_late") / F.col("worst_n"))
@@ -575,6 +577,8 @@ def stratified_comparison(
         F.col("worst").alias("level_low"),
         F.col("best_n").alias("n_high"),
         F.col("worst_n").alias("n_low"),
+        rounded(best_rate, 2).alias("on_time_high"),
+        rounded(worst_rate, 2).alias("on_time_low"),
         (best_rate - worst_rate).alias("_pooled"),
     )
     summary = merge_single_rows(pooled, spread)
@@ -739,6 +743,8 @@ def with_decision(frame: DataFrame, settings: Settings = DEFAULTS, with_mde: boo
     return (
         frame.withColumn("decision", verdict)
         .withColumn("confidence", confidence)
+        .withColumn("practical_significance_met", F.coalesce(matters, F.lit(False)))
+        .withColumn("adequately_powered", F.coalesce(powered, F.lit(False)))
         .withColumn("practical_threshold_pp", rounded(threshold, 3))
         .withColumn("rationale", because)
     )

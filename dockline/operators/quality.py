@@ -85,6 +85,10 @@ NAMED_RULES = {
     "delivery_delay_days": Rule(low=-400, high=400),
     "freight_cost_usd": Rule(low=0),
     "weight_kg": Rule(low=0),
+    "price_inr": Rule(low=0, high=500_000),
+    "price(\u20b9)": Rule(low=0, high=500_000),
+    "ingredient_count": Rule(low=0, high=10),
+    "pack_quantity": Rule(low=0),
 }
 PREFIX_RULES = {"units_": Rule(low=0)}
 SUFFIX_RULES = {"_usd": Rule(low=0), "_pct": Rule(low=0, high=100)}
@@ -111,6 +115,11 @@ def _cell(df: DataFrame, name: str) -> Column:
     return nan_to_null(column) if isinstance(_kinds(df)[name], (T.DoubleType, T.FloatType)) else column
 
 
+def _total_order(df: DataFrame) -> list[Column]:
+    """All columns that can be ordered, so that ties leave only equal rows."""
+    return [F.col(f"`{name}`") for name, kind in _kinds(df).items() if not isinstance(kind, T.MapType)]
+
+
 def _empty(df: DataFrame, schema: str) -> DataFrame:
     """Typed empty report, so a report has the same schema whatever applies."""
     return df.sparkSession.createDataFrame([], schema)
@@ -261,7 +270,7 @@ def duplicate_report(
             F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long").alias("exact_duplicate_rows")
         ),
     ]
-    shown = repeated.orderBy(F.col("copies").desc(), *df.columns[:1]).limit(settings.sample_rows)
+    shown = repeated.orderBy(F.col("copies").desc(), *_total_order(df)).limit(settings.sample_rows)
     key = [c for c in (subset or []) if c in df.columns]
     if key:
         quoted = [F.col(f"`{c}`") for c in key]
@@ -271,7 +280,7 @@ def duplicate_report(
         )
         first_keys = keys.filter("_n > 1").orderBy(*quoted).limit(settings.sample_rows).drop("_n")
         key_examples = match_rows(df, F.broadcast(first_keys), key, "left_semi")  # sample_rows rows
-        key_examples = key_examples.orderBy(*quoted).limit(settings.sample_rows)
+        key_examples = key_examples.orderBy(*quoted, *_total_order(df)).limit(settings.sample_rows)
     else:
         key_examples = df.limit(0)
     summary = merge_single_rows(*parts)

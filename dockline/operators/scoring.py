@@ -115,9 +115,11 @@ def with_risk_band(df: DataFrame, probability: str, settings: Settings = DEFAULT
             ),
         )
     )
-    listed = F.when(
+    # format_string would round half up on the decimal text; the probability is rounded first
+    lead_text = F.concat(F.lit("Late with probability "), F.format_string("%.1f", rounded(100.0 * p, 1)), F.lit(" % ("), F.lower(band), F.lit(" risk). "))
+    listed = F.concat(lead_text, F.when(
         F.size(drivers) > 0, F.concat(F.lit("Drivers: "), F.array_join(drivers, "; "), F.lit("."))
-    ).otherwise("No dominant driver.")
+    ).otherwise("No dominant driver."))
     return df.withColumns(
         {
             "prediction": F.when(p >= 0.5, "Late").otherwise("On Time"),

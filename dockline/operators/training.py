@@ -48,6 +48,7 @@ LEAKING = (
 )
 FAMILIES = ("decision_tree", "random_forest", "boosted_trees")
 MAX_DEPTH = 30
+MAX_LABELS = 1_000
 
 
 def late_delivery_frame(df: DataFrame) -> DataFrame:
@@ -228,7 +229,9 @@ def train_classifier(
     ``frame`` has a text ``label``. The test rows never take part in choosing.
     """
     usable = frame.filter(F.col("label").isNotNull())
-    labels = [r[0] for r in usable.select("label").distinct().orderBy("label").collect()]
+    labels = [r[0] for r in usable.select("label").distinct().orderBy("label").limit(MAX_LABELS + 1).collect()]
+    if len(labels) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels; not a class column")
     split = settled(
         evaluation.with_split(usable, "label", identity, settings.test_size, settings.cv_folds, settings.seed)
     )

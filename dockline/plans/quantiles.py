@@ -233,6 +233,8 @@ def _by_narrowing(
         spot = position(fraction)
         low = F.max(F.when(here & (F.col("_rank") == F.floor(spot)), F.col("_v")))
         high = F.max(F.when(here & (F.col("_rank") == F.ceil(spot)), F.col("_v")))
+        # the weights of the built-in percentile, so both branches give the same bits
+        above = F.max(F.when(here, F.ceil(spot) - spot))
         part = F.max(F.when(here, spot - F.floor(spot)))
-        results.append((low + (high - low) * part).alias(name))
+        results.append(F.when(low == high, low).otherwise(above * low + part * high).alias(name))
     return found.groupBy(*keys).agg(*results)

@@ -27,22 +27,31 @@ EXPECTED_ROWS = {"drug200": 200, "scms": 10324}
 SCHEMAS = {"drug200": PATIENT_SCHEMA, "scms": SHIPMENT_TEXT_SCHEMA}
 
 
-def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV by position with an explicit schema.
-
-    The header is skipped and not matched by name, so a byte-order mark in the
-    first header does no harm; nothing is inferred.
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """CSV bound by header name, with the types of `schema`.
+
+    Columns may stand in any order and others may be there; a byte-order mark before
+    the first header is dropped; an absent header raises ``ValueError`` naming it.
+    Everything is read as text and cast, a value that does not fit becoming null.
+    Quoted line breaks are kept; `multi_line=False` lets Spark split a large file
+    that has none.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
+    text = (
+        spark.read.option("header", True)
+        .option("inferSchema", False)
         .option("encoding", "UTF-8")
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
     )
+    held = {name.lstrip("\ufeff").strip(): name for name in text.columns}
+    absent = [field.name for field in schema if field.name not in held]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(map(repr, absent))}")
+    return text.select(
+        *[F.col(f"`{held[f.name]}`").try_cast(f.dataType).alias(f.name) for f in schema]
+    )
 
 
 def load_table(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -116,15 +125,18 @@ def write_reports(reports: dict[str, DataFrame], path: str, kind: str = "parquet
     return written
 
 
-def write_interpreted(shipments: DataFrame, path: str) -> None:
+def write_interpreted(shipments: DataFrame, path: str, max_rows: int = 5_000_000) -> None:
     """Store the interpreted table once, laid out by delivery year.
 
     Operators that filter or group by year then prune directories, and those
-    that read the table more than once do not parse text again.
+    that read the table more than once do not parse text again. The rebalance
+    hint sizes the writers from the data and splits a large year over several; no
+    file exceeds `max_rows` rows.
     """
     (
-        shipments.repartition("delivery_year", F.pmod(F.xxhash64("shipment_id", "po_number"), F.lit(64)))
+        shipments.hint("rebalance", F.col("delivery_year"))
         .write.mode("overwrite")
+        .option("maxRecordsPerFile", max_rows)
         .partitionBy("delivery_year")
         .parquet(path)
     )

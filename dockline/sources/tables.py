@@ -312,7 +312,8 @@ def stored_published(spark: SparkSession, folder: str) -> DataFrame:
         base = spark.sparkContext.getCheckpointDir()
         path = f"{base}/published-{len(_STORED)}"
         (
-            published_shipments(spark, folder)
+            # not in the order of the rename table: readers bind by name
+            published_shipments(spark, folder).select(*sorted(PUBLISHED_COLUMNS, reverse=True))
             .write.mode("overwrite")
             .option("header", True)
             .option("ignoreLeadingWhiteSpace", False)

@@ -168,3 +168,15 @@ def test_power_functions_agree_with_each_other():
     h = special.cohens_h(0.92, 0.951)
     assert special.normal_power(h, n, n, 0.05) >= 0.80 > special.normal_power(h, n - 1, n - 1, 0.05)
     assert special.detectable_h(n, n, 0.05, 0.80) == pytest.approx(abs(h), rel=1e-2)
+
+
+def test_rank_sum_exact_has_no_size_limit_and_no_cancellation():
+    import math
+
+    least = special.rank_sum_exact(0, 8, 20_000)
+    assert least == pytest.approx(2 / math.comb(20_008, 8), rel=1e-12)
+    shares = [special.rank_sum_exact(u, 8, 20_000) for u in (0, 10, 1_000, 40_000, 80_000)]
+    assert shares == sorted(shares) and shares[-1] == 1.0
+    # partitions of at most 5 into parts of any size here: 1 + 1 + 2 + 3 + 5 + 7
+    assert special.rank_sum_exact(5, 8, 20_000) == pytest.approx(2 * 19 / math.comb(20_008, 8), rel=1e-12)
+    assert special.rank_sum_p(1_000.0, 8, 3_000_000, 0) < 1e-20

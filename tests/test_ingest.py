@@ -133,3 +133,27 @@ def test_interpreted_table_round_trips_through_year_directories(spark, ship, tmp
     files.write_interpreted(ship, str(tmp_path / "silver"))
     back = spark.read.parquet(str(tmp_path / "silver"))
     assert back.count() == ship.count() and set(back.columns) == set(ship.columns)
+
+
+def _written(spark, tmp_path, names, mark=""):
+    rows = {name: f"v{i}" for i, name in enumerate(ingest.PUBLISHED_COLUMNS)}
+    rows |= {"ID": "7", "Vendor": 'A "quoted"\nname', "Delivered to Client Date": "2-Jun-06", "Scheduled Delivery Date": "1-Jun-06"}
+    quote = lambda text: '"' + text.replace('"', '""') + '"'
+    path = tmp_path / f"{len(names)}{bool(mark)}{names[0][:2]}.csv"
+    lines = [",".join(quote(n) for n in names), ",".join(quote(rows.get(n, "x")) for n in names)]
+    path.write_text(mark + "\n".join(lines) + "\n", encoding="utf-8")
+    return str(path)
+
+
+def test_csv_is_bound_by_header_name(spark, tmp_path):
+    plain = files.load_shipments(spark, _written(spark, tmp_path, ingest.PUBLISHED_COLUMNS)).first().asDict()
+    other = [*sorted(ingest.PUBLISHED_COLUMNS, reverse=True), "extra"]
+    shuffled = files.load_shipments(spark, _written(spark, tmp_path, other, mark="﻿")).first().asDict()
+    assert plain == shuffled
+    assert plain["vendor"] == 'A "quoted"\nname' and plain["is_late"] == 1 and plain["shipment_id"] == 7
+
+
+def test_csv_without_a_header_raises_with_its_name(spark, tmp_path):
+    path = _written(spark, tmp_path, [n for n in ingest.PUBLISHED_COLUMNS if n != "Vendor"])
+    with pytest.raises(ValueError, match="Vendor"):
+        files.load_shipments(spark, path)

@@ -117,3 +117,12 @@ def test_a_join_side_is_broadcast_only_when_counted_small(spark):
     assert small_or_stored(df, 50).count() == 50
     stored = small_or_stored(df, 10)
     assert stored.count() == 50 and "ResolvedHint" not in stored._jdf.queryExecution().logical().toString()
+
+
+def test_both_quantile_branches_give_the_same_bits(spark):
+    random = np.random.default_rng(5)
+    frame = pd.DataFrame({"k": random.integers(0, 60, 6000), "v": np.round(random.lognormal(3, 2, 6000), 2)})
+    df = spark.createDataFrame(frame)
+    wanted = {f"q{i}": ("v", f) for i, f in enumerate((0.1, 0.25, 0.5, 0.75, 0.9, 0.95))}
+    both = [sorted(map(tuple, grouped_quantiles(df, ["k"], wanted, direct).collect())) for direct in (0, 10_000)]
+    assert both[0] == both[1]

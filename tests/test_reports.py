@@ -162,3 +162,20 @@ def test_parsing_does_not_flatter_the_score(spark, ship):
 
 def test_empty_selection_keeps_all_rows(ship):
     assert filters.filter_levels(ship, {"vendor": [], "absent": ["x"]}).count() == ship.count()
+
+
+def test_sums_keep_all_digits(spark):
+    from dockline.functions.columns import money_sum
+
+    df = spark.createDataFrame([(1, 0.004), (1, 0.004), (1, 0.004), (2, 1e17), (2, 5.0), (3, None), (4, 0.1), (4, 0.2)], "k int, v double")
+    got = {r.k: r.s for r in df.groupBy("k").agg(money_sum("v").alias("s")).collect()}
+    assert got == {1: 0.012, 2: 1e17, 3: 0.0, 4: 0.3}
+
+
+def test_medicine_columns_have_named_rules(spark):
+    from dockline.operators.quality import default_rules
+
+    df = spark.createDataFrame([(1.0, 1.0, 1, 1)], "price_inr double, `price(₹)` double, ingredient_count int, pack_quantity int")
+    rules = default_rules(df)
+    assert {n: (r.low, r.high) for n, r in rules.items()} == {
+        "price_inr": (0, 500_000), "price(₹)": (0, 500_000), "ingredient_count": (0, 10), "pack_quantity": (0, None)}
