@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from dockline.llm.common import batch_texts, keyed, settled, shuffle_width, stored
+from dockline.llm.common import batch_texts, keyed, shuffle_width, stored
 
 MIN_LINES = 2
 DOCUMENT = ["_id", "_th"]
@@ -45,25 +45,36 @@ def line_rows(own: DataFrame) -> DataFrame:
     return rows.select(*DOCUMENT, "line", "h.a", "h.b")
 
 
-def ranked(keys: DataFrame) -> DataFrame:
-    """Add `rank` to distinct keys (a, b, n): 1 + the rows of smaller keys in the order (a, b)."""
-    width = shuffle_width(keys.sparkSession)
-    placed = settled(keys.repartitionByRange(width, "a", "b").sortWithinPartitions("a", "b"))
-    held = placed.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("n").alias("n")).collect()  # one row a partition
-    before, total = {}, 0
-    for row in sorted(held):
-        before[row.p] = total
-        total += row.n
+def ranked(keys: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct keys (a, b, n, first) with `rank`, and their number.
+
+    The rank is 1 + the rows of smaller keys in the order (a, b): the running count
+    in the key's range partition plus what the partitions before it hold.
+    """
+    spark = keys.sparkSession
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = before.get(TaskContext.get().partitionId(), 0) + 1
+        part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             counts = batch.column(2).to_numpy()
-            upto = np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(start + upto - counts)], names=["a", "b", "rank"])
-            start += int(upto[-1]) if len(upto) else 0
-
-    return placed.select("a", "b", "n").mapInArrow(work, "a long, b long, rank long")
+            upto = start + np.cumsum(counts)
+            own = [batch.column(0), batch.column(1), batch.column(3), pa.array(np.full(len(counts), part, np.int32)), pa.array(upto - counts), pa.array(upto)]
+            yield pa.RecordBatch.from_arrays(own, names=["a", "b", "first", "part", "before", "upto"])
+            start = int(upto[-1]) if len(upto) else start
+
+    ordered = keys.repartitionByRange(shuffle_width(spark), "a", "b").sortWithinPartitions("a", "b").select("a", "b", "n", "first")
+    kind = keys.schema["first"].dataType.simpleString()
+    placed = stored(ordered.mapInArrow(work, f"a long, b long, first {kind}, part int, before long, upto long"), "lines-ranks")
+    held = placed.groupBy("part").agg(F.max("upto").alias("n"), F.count("*").alias("keys")).collect()  # one row a partition
+    offsets, total = [], 0
+    for row in sorted(held):
+        offsets.append((row.part, total))
+        total += row.n
+    if not offsets:
+        return placed.select("a", "b", "first", F.col("before").alias("rank")), 0
+    shifts = F.broadcast(spark.createDataFrame(offsets, "part int, shift long"))
+    named = placed.join(shifts, "part").select("a", "b", "first", (F.col("before") + F.col("shift") + 1).alias("rank"))
+    return named, sum(row["keys"] for row in held)
 
 
 def _intervals(rows: DataFrame) -> DataFrame:
@@ -82,28 +93,27 @@ def repeated_runs(own: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
     `span` is the largest power-of-two step, or `min_lines`, that still has an earlier copy.
     """
-    rows = line_rows(own).repartition(*DOCUMENT).dropDuplicates([*DOCUMENT, "line"])
-    rows = stored(rows, "lines-hashed")
+    rows = stored(line_rows(own).repartition(*DOCUMENT).dropDuplicates([*DOCUMENT, "line"]), "lines-hashed")
     found, step = None, 1
     while True:
-        shared = settled(_intervals(rows))
-        ranks = ranked(shared.select("a", "b", "n"))
-        names = shared.join(ranks, ["a", "b"]).select("a", "b", "rank", "first")
-        # positions whose interval has several members; the others are final
-        live = rows.join(names, ["a", "b"]).select(
-            *DOCUMENT, "line", "rank", (F.struct(*DOCUMENT, "line") != F.col("first")).alias("later"))
-        live = settled(live)
-        if live.limit(1).count() == 0:
+        names, number = ranked(_intervals(rows))
+        if not number:
             break
+        # positions whose interval has several members; the others are final
+        live = stored(
+            rows.join(names, ["a", "b"]).select(
+                *DOCUMENT, "line", "rank", (F.struct(*DOCUMENT, "line") != F.col("first")).alias("later")),
+            "lines-live",
+        )
         if step >= min_lines:
             spans = live.filter("later").select(*DOCUMENT, "line", F.lit(step).alias("span"))
             found = spans if found is None else found.unionAll(spans)
         elif 2 * step > min_lines:
             # two overlapping windows of this step make one of min_lines
-            joined = _paired(live, min_lines - step)
+            joined = stored(_paired(live, min_lines - step), "lines-exact")
             exact = joined.join(_intervals(joined), ["a", "b"]).filter(F.struct(*DOCUMENT, "line") != F.col("first"))
             found = exact.select(*DOCUMENT, "line", F.lit(min_lines).alias("span"))
-        rows = _paired(live, step)
+        rows = stored(_paired(live, step), "lines-paired")
         step *= 2
     if found is None:
         return own.sparkSession.createDataFrame([], "_id long, _th long, line int, span int")
