@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from checks.base import SHIP, also, rnd
 from checks.quality import MISSING, SEVERITY
+from dockline.functions.columns import levels_outside
 from dockline.config import DEFAULTS
 from dockline.operators import clinical, evaluation, quality, scoring, training
 from dockline.plans.ranking import use_checkpoint_dir
@@ -200,11 +201,7 @@ add(
 )
 add(
     "observed_minus_allowed_levels",
-    lambda spark, folder: t.patients(spark, folder)
-    .select(F.col("BP").alias("level"))
-    .filter("level is not null")
-    .distinct()
-    .filter(~F.col("level").isin(*clinical.ALLOWED["BP"])),
+    lambda spark, folder: levels_outside(t.patients(spark, folder), "BP", clinical.ALLOWED["BP"]),
     RAW + """SELECT DISTINCT "BP" AS level FROM raw WHERE "BP" NOT IN ('HIGH','LOW','NORMAL')""",
 )
 add(
@@ -442,9 +439,9 @@ add(
     .withColumn("explanation", scoring.clinical_explanation())
     .select("explanation"),
     RAW
-    + f""", f AS ({FEATURES}) SELECT 'Predicted ' || "Drug" || ' with 87.5% confidence. Na/K ratio ' || printf('%.2f', "Na_to_K") || ' is in the ' || na_to_k_band
-      || ' band' || CASE WHEN high_na_to_k = 1 THEN ' (above the high threshold, the dominant driver)' ELSE '' END || '; blood pressure ' || "BP"
-      || ', cholesterol ' || "Cholesterol" || ', combined risk ' || CAST(CAST(combined_risk_score AS INTEGER) AS VARCHAR) || '/4, age group ' || age_group || '.' AS explanation
+    + f""", f AS ({FEATURES}) SELECT 'Age group ' || age_group || ', pressure ' || "BP" || ', cholesterol ' || "Cholesterol" || ', risk points '
+      || CAST(CAST(combined_risk_score AS INTEGER) AS VARCHAR) || ' of 4; Na/K ratio ' || printf('%.2f', "Na_to_K") || ', band ' || na_to_k_band
+      || CASE WHEN high_na_to_k = 1 THEN ', which decides most such cases' ELSE '' END || '. The model says ' || "Drug" || ' (87.5%).' AS explanation
       FROM f WHERE "Age" IS NOT NULL AND "Sex" IS NOT NULL AND "Na_to_K" IS NOT NULL AND "BP" IS NOT NULL AND "Cholesterol" IS NOT NULL""",
 )
 
@@ -454,7 +451,7 @@ _FITTED = {}
 
 
 def _patient_model(spark, folder):
-    key = (spark.sparkContext.applicationId, folder, "patients")
+    key = (spark.sparkContext.applicationId, folder, t.folder_state(spark, folder), "patients")
     if key not in _FITTED:
         _FITTED[key] = training.train_drug_class(
             t.patients(spark, folder), families=("decision_tree", "random_forest"), tune=False, settings=QUICK
@@ -463,7 +460,7 @@ def _patient_model(spark, folder):
 
 
 def _late_model(spark, folder):
-    key = (spark.sparkContext.applicationId, folder, "late")
+    key = (spark.sparkContext.applicationId, folder, t.folder_state(spark, folder), "late")
     if key not in _FITTED:
         _FITTED[key] = training.train_late_delivery(
             t.stored_shipments(spark, folder), families=("decision_tree",), tune=False, settings=QUICK

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import SHIP, over, rnd
+from dockline.functions.columns import levels_outside
 from dockline.operators import ingest, quality
 from dockline.sources import tables as t
 
@@ -317,11 +318,11 @@ add(
     SHIP
     + f""", s AS ({SHIP_SCORE}), w AS (SELECT *, least(completeness, uniqueness, validity, consistency, accuracy) AS lowest FROM s)
       SELECT grade, 'Grade ' || grade || ' (' || printf('%.2f', overall_score) || '/100) over ' || format('{{:,}}', rows) || ' rows x '
-        || columns || ' columns. Weakest: ' || CASE lowest WHEN completeness THEN 'completeness' WHEN uniqueness THEN 'uniqueness'
+        || columns || ' columns; lowest score: ' || CASE lowest WHEN completeness THEN 'completeness' WHEN uniqueness THEN 'uniqueness'
           WHEN validity THEN 'validity' WHEN consistency THEN 'consistency' ELSE 'accuracy' END || ' (' || printf('%.2f', lowest) || '). '
-        || CASE grade WHEN 'A' THEN 'fit for reporting as it is' WHEN 'B' THEN 'usable; remediate the weakest dimension first'
-          WHEN 'C' THEN 'conditional; remediate before use' WHEN 'D' THEN 'not fit for decisions; quarantine and re-ingest'
-          ELSE 'failing; trace the defect to its source' END || '.' AS verdict FROM w""",
+        || CASE grade WHEN 'A' THEN 'figures can be published' WHEN 'B' THEN 'figures can be used while the lowest score is raised'
+          WHEN 'C' THEN 'figures need a warning until the lowest score is raised' WHEN 'D' THEN 'no decision should rest on these rows; load them again'
+          ELSE 'find where the rows went wrong before anything else' END || '.' AS verdict FROM w""",
 )
 add(
     "quality_scoreboard",
@@ -427,9 +428,6 @@ def _audit_sizes(spark, folder):
 add("full_audit", _audit_sizes)
 add(
     "level_difference",
-    lambda spark, folder: t.table(spark, folder, "part")
-    .select("p_type")
-    .distinct()
-    .join(spark.createDataFrame([("SMALL",), ("LARGE",)], "p_type string"), "p_type", "left_anti"),
+    lambda spark, folder: levels_outside(t.table(spark, folder, "part"), "p_type", ("SMALL", "LARGE"), "p_type"),
     "SELECT DISTINCT p_type FROM part WHERE p_type NOT IN ('SMALL', 'LARGE')",
 )

@@ -418,15 +418,15 @@ add(
               CASE WHEN count_if({c}_reason = 'structural') > 0
                    THEN format('{{:,}}', count_if({c}_reason = 'structural')) || '{note}'
                    WHEN count_if({c}_reason = 'missing') > 0
-                   THEN format('{{:,}}', count_if({c}_reason = 'missing')) || ' genuinely unrecorded'
-                   ELSE 'Fully recorded' END AS interpretation FROM ship"""
+                   THEN format('{{:,}}', count_if({c}_reason = 'missing')) || ' should have a date and have none'
+                   ELSE 'Every row has a date' END AS interpretation FROM ship"""
             for stage, c, note in (
                 (
                     s,
                     c,
-                    " fulfilled from distribution centre stock, no vendor order raised"
+                    " came from stock, which needs no order to a vendor"
                     if c == "date_po_sent"
-                    else " predate the current quote process",
+                    else " are older than the quote records",
                 )
                 for s, c in funnels.MILESTONES
             )

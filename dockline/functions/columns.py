@@ -97,3 +97,22 @@ def merge_single_rows(*frames: DataFrame) -> DataFrame:
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     names = [name for frame in frames for name in frame.columns]
     return stacked.agg(*[F.max(name).alias(name) for name in names])
+
+
+def distinct_per_column(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """One row of exact distinct counts, one per column.
+
+    Levels are unpivoted and deduplicated once, with map-side combine, instead
+    of one expanded copy of each row per distinct aggregate.
+    """
+    cells = F.array(
+        *[F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("v")) for n, c in columns.items()]
+    )
+    levels = df.select(F.explode(cells).alias("c")).select("c.*").filter("v is not null").distinct()
+    return levels.agg(*[tally(F.col("name") == name).alias(name) for name in columns])
+
+
+def levels_outside(df: DataFrame, column: str, allowed: tuple, name: str = "level") -> DataFrame:
+    """Observed minus allowed: the distinct levels of a column that are not allowed; null is no level."""
+    levels = df.select(F.col(f"`{column}`").alias(name)).filter(F.col(name).isNotNull())
+    return levels.filter(~F.col(name).isin(*allowed)).distinct()

@@ -26,12 +26,12 @@ from dockline.plans.ranking import running, settled, small_or_stored
 
 # Dimensions compared by default, and levels that are no real levels.
 DIMENSIONS = {
-    "fulfil_via": "collinear with the trade term; check by era",
-    "shipment_mode": "entangled with era",
-    "region": "confounded with product mix and mode",
-    "first_line_designation": "freight metrics are undefined across this split",
-    "product_group": "small groups may fail the expected-count assumption",
-    "era": "the time split itself; use it to stratify",
+    "fulfil_via": "follows the trade term almost one to one; look at each era apart",
+    "shipment_mode": "changed over the years together with era",
+    "region": "regions buy other products by other modes",
+    "first_line_designation": "one side has hardly any freight figures",
+    "product_group": "rare groups may be too small for the chi-square test",
+    "era": "a split by time; use it for strata",
 }
 EXCLUDED_LEVELS = {"shipment_mode": ("Unknown",)}
 
@@ -588,13 +588,13 @@ def stratified_comparison(
     verdict = (
         F.when(F.col("levels") != 2, F.concat(F.lit(f"Needs exactly two levels of {dimension}; found "), "levels", F.lit(".")))
         .when(F.col("strata") == 0, F.lit(f"No stratum of {by} has enough data in both groups."))
-        .when(F.col("is_sign_flip"), F.concat(F.lit(f"The gap reverses sign across {by}; the pooled "),
-              F.format_string(signed, "_pooled"), F.lit(" pp means nothing.")))
-        .when(F.col("interaction_detected"), F.concat(F.lit("The pooled gap of "), F.format_string(signed, "_pooled"),
-              F.lit(f" pp hides an interaction with {by}: "), F.format_string(signed, "narrowest_gap_pp"), F.lit(" to "),
+        .when(F.col("is_sign_flip"), F.concat(F.lit(f"Which level is ahead depends on {by}, so the pooled "),
+              F.format_string(signed, "_pooled"), F.lit(" pp is no answer.")))
+        .when(F.col("interaction_detected"), F.concat(F.lit("Pooled over all strata the gap is "), F.format_string(signed, "_pooled"),
+              F.lit(f" pp, yet by {by} it runs from "), F.format_string(signed, "narrowest_gap_pp"), F.lit(" to "),
               F.format_string(signed, "widest_gap_pp"), F.lit(" pp.")))
-        .otherwise(F.concat(F.lit(f"The gap is stable across {by}; the pooled "), F.format_string(signed, "_pooled"),
-              F.lit(" pp is a fair summary.")))
+        .otherwise(F.concat(F.lit(f"Every {by} shows about the same gap; one figure, "), F.format_string(signed, "_pooled"),
+              F.lit(" pp, stands for all.")))
     )
     summary = summary.withColumns(
         {

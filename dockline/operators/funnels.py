@@ -125,14 +125,14 @@ def traceability(df: DataFrame) -> DataFrame:
     for i, (stage, column) in enumerate(MILESTONES):
         absent, missing = F.col(f"s{i}"), F.col(f"m{i}")
         absent_note = (
-            " fulfilled from distribution centre stock, no vendor order raised"
+            " came from stock, which needs no order to a vendor"
             if column == "date_po_sent"
-            else " predate the current quote process"
+            else " are older than the quote records"
         )
         note = (
             F.when(absent > 0, F.concat(F.format_number(absent, 0), F.lit(absent_note)))
-            .when(missing > 0, F.concat(F.format_number(missing, 0), F.lit(" genuinely unrecorded")))
-            .otherwise("Fully recorded")
+            .when(missing > 0, F.concat(F.format_number(missing, 0), F.lit(" should have a date and have none")))
+            .otherwise("Every row has a date")
         )
         rows.append(
             {

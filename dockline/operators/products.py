@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dockline.config import DEFAULTS, Settings
 from dockline.functions.columns import (
+    distinct_per_column,
     match_rows,
     merge_single_rows,
     money_sum,
@@ -47,19 +48,6 @@ def priced(df: DataFrame) -> DataFrame:
     return df.filter(_is_priced())
 
 
-def distinct_per_column(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """One row of exact distinct counts, one per column.
-
-    Levels are unpivoted and deduplicated once, with map-side combine, instead
-    of one expanded copy of each row per distinct aggregate.
-    """
-    cells = F.array(
-        *[F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("v")) for n, c in columns.items()]
-    )
-    levels = df.select(F.explode(cells).alias("c")).select("c.*").filter("v is not null").distinct()
-    return levels.agg(*[tally(F.col("name") == name).alias(name) for name in columns])
-
-
 def catalogue_kpis(df: DataFrame) -> DataFrame:
     """Distinct counts per catalogue dimension, generic share and priced coverage."""
     rows = F.count("*")

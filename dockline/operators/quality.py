@@ -93,9 +93,9 @@ NAMED_RULES = {
 PREFIX_RULES = {"units_": Rule(low=0)}
 SUFFIX_RULES = {"_usd": Rule(low=0), "_pct": Rule(low=0, high=100)}
 CHECKS = (
-    Check("date_po_sent", "date_delivered", "<=", "A purchase order precedes its own delivery."),
-    Check("date_pq_sent", "date_delivered", "<=", "A price quote precedes the delivery it led to."),
-    Check("date_delivered", "date_recorded", "<=", "A delivery is recorded only after it arrives."),
+    Check("date_po_sent", "date_delivered", "<=", "An order dated after its delivery is out of sequence."),
+    Check("date_pq_sent", "date_delivered", "<=", "A quote dated after the delivery is out of sequence."),
+    Check("date_delivered", "date_recorded", "<=", "A delivery entered before its date is out of sequence."),
 )
 SEVERITIES = ("High", "Medium", "Low", "None")
 
@@ -665,15 +665,15 @@ def data_quality_score(
     least = F.least(*[F.col(n) for n in defects])
     weakest = F.coalesce(*[F.when(F.col(n) == least, n) for n in defects])
     fitness = (
-        F.when(F.col("grade") == "A", "fit for reporting as it is")
-        .when(F.col("grade") == "B", "usable; remediate the weakest dimension first")
-        .when(F.col("grade") == "C", "conditional; remediate before use")
-        .when(F.col("grade") == "D", "not fit for decisions; quarantine and re-ingest")
-        .otherwise("failing; trace the defect to its source")
+        F.when(F.col("grade") == "A", "figures can be published")
+        .when(F.col("grade") == "B", "figures can be used while the lowest score is raised")
+        .when(F.col("grade") == "C", "figures need a warning until the lowest score is raised")
+        .when(F.col("grade") == "D", "no decision should rest on these rows; load them again")
+        .otherwise("find where the rows went wrong before anything else")
     )
     verdict = F.concat(
         F.lit("Grade "), "grade", F.lit(" ("), F.format_string("%.2f", "overall_score"),
-        F.lit("/100) over "), F.format_number("rows", 0), F.lit(f" rows x {width} columns. Weakest: "),
+        F.lit("/100) over "), F.format_number("rows", 0), F.lit(f" rows x {width} columns; lowest score: "),
         weakest, F.lit(" ("), F.format_string("%.2f", least), F.lit("). "), fitness, F.lit("."),
     )
     return row.withColumn("verdict", verdict)

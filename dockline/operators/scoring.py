@@ -20,15 +20,13 @@ LONG_LEAD_DAYS = 250
 
 def clinical_explanation() -> Column:
     """One sentence per scored patient from the engineered features."""
-    high = F.when(F.col("high_na_to_k") == 1, " (above the high threshold, the dominant driver)").otherwise("")
+    high = F.when(F.col("high_na_to_k") == 1, ", which decides most such cases").otherwise("")
     return F.concat(
-        F.format_string("Predicted %s with %.1f%% confidence. ", "prediction", F.col("confidence") * 100),
-        F.format_string("Na/K ratio %.2f is in the %s band", "Na_to_K", "na_to_k_band"),
+        F.format_string("Age group %s, pressure %s, cholesterol %s, risk points %d of 4; ",
+                        "age_group", "BP", "Cholesterol", F.col("combined_risk_score").cast("int")),
+        F.format_string("Na/K ratio %.2f, band %s", "Na_to_K", "na_to_k_band"),
         high,
-        F.format_string(
-            "; blood pressure %s, cholesterol %s, combined risk %d/4, age group %s.",
-            "BP", "Cholesterol", F.col("combined_risk_score").cast("int"), "age_group",
-        ),
+        F.format_string(". The model says %s (%.1f%%).", "prediction", F.col("confidence") * 100),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dockline.config import DEFAULTS, Settings
 from dockline.functions.columns import (
+    distinct_per_column,
     inline_rows,
     match_rows,
     merge_single_rows,
@@ -21,13 +22,15 @@ from dockline.functions.columns import (
 from dockline.plans.quantiles import grouped_quantiles
 from dockline.plans.ranking import running
 
+KPI_COUNTS = {"countries": "country", "vendors": "vendor", "manufacturing_sites": "manufacturing_site"}
 PERIODS = {"quarter": "delivery_quarter", "month": "delivery_month", "year": "delivery_year"}
+# Interval names. The last entry says what rows an interval rests on.
 INTERVALS = (
-    ("Price quote to delivery", "total_lead_time_days", "whole pipeline; needs a recorded quote"),
-    ("Vendor PO to delivery", "vendor_lead_time_days", "direct orders only; stock has no PO"),
-    ("Planned quote-to-scheduled", "scheduled_lead_time_days", "promised lead time"),
-    ("Scheduled versus actual delivery", "delivery_delay_days", "negative means early"),
-    ("Delivery to system recording", "recording_lag_days", "administrative lag"),
+    ("Price quote to delivery", "total_lead_time_days", "rows with a quote date"),
+    ("Vendor PO to delivery", "vendor_lead_time_days", "rows with an order date, none from stock"),
+    ("Planned quote-to-scheduled", "scheduled_lead_time_days", "rows with both planned dates"),
+    ("Scheduled versus actual delivery", "delivery_delay_days", "days before the planned date count below zero"),
+    ("Delivery to system recording", "recording_lag_days", "rows with an entry date"),
 )
 
 
@@ -257,9 +260,6 @@ def shipment_kpis(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     parsed_freight = F.when(F.col("freight_cost_reason") == "parsed", F.col("freight_cost_usd"))
     sums = df.agg(
         F.count("*").alias("shipments"),
-        F.countDistinct("country").alias("countries"),
-        F.countDistinct("vendor").alias("vendors"),
-        F.countDistinct("manufacturing_site").alias("manufacturing_sites"),
         rounded(F.lit(100.0) * (F.lit(1.0) - F.avg("is_late")), 2).alias("on_time_delivery_pct"),
         whole_sum("is_late").alias("late_shipments"),
         rounded(F.avg("delivery_delay_days"), 2).alias("avg_delay_days"),
@@ -273,6 +273,8 @@ def shipment_kpis(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         F.min("date_delivered").cast("string").alias("date_from"),
         F.max("date_delivered").cast("string").alias("date_to"),
     )
+    # a distinct count in the same aggregate would expand every row
+    levels = distinct_per_column(df, KPI_COUNTS)
     medians = grouped_quantiles(
         df,
         [],
@@ -283,7 +285,7 @@ def shipment_kpis(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         },
     )
     target = F.lit(settings.on_time_target_pct)
-    return merge_single_rows(sums, medians).withColumns(
+    return merge_single_rows(sums, levels, medians).withColumns(
         {
             "median_delay_days": rounded(F.col("median_delay_days"), 1),
             "median_freight_pct_of_value": rounded(F.col("median_freight_pct_of_value"), 2),

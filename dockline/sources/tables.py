@@ -284,7 +284,14 @@ def shipments(spark: SparkSession, folder: str, spread: bool = False) -> DataFra
     return base.withColumns(derived_columns())
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
+
+
+def folder_state(spark: SparkSession, folder: str) -> tuple:
+    """Number, total length and latest change of the table files: what a stored copy is valid for."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    found = files.load(folder).agg(F.count("path"), F.sum("length"), F.max("modificationTime"))
+    return tuple(found.first())
 
 
 def stored_shipments(spark: SparkSession, folder: str) -> DataFrame:
@@ -294,7 +301,7 @@ def stored_shipments(spark: SparkSession, folder: str) -> DataFrame:
     column-pruned table replaces a six-way join on each pass. The files go to
     the shared checkpoint folder.
     """
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, folder, folder_state(spark, folder))
     if key not in _STORED:
         use_checkpoint_dir(spark)
         base = spark.sparkContext.getCheckpointDir()
@@ -306,7 +313,7 @@ def stored_shipments(spark: SparkSession, folder: str) -> DataFrame:
 
 def stored_published(spark: SparkSession, folder: str) -> DataFrame:
     """The text view written once per application as CSV and read like a published file."""
-    key = (spark.sparkContext.applicationId, folder + "#published")
+    key = (spark.sparkContext.applicationId, folder + "#published", folder_state(spark, folder))
     if key not in _STORED:
         use_checkpoint_dir(spark)
         base = spark.sparkContext.getCheckpointDir()
