@@ -5,13 +5,14 @@
 2. 128 minima are taken per set. Bands of 4 give 32 bucket keys; only the low 2
    bits of each minimum are kept, packed in 32 bytes. Two sets of similarity 0.8
    share no bucket with probability (1 - 0.8^4)^32 < 1e-7.
-3. Within buckets of two or more classes, candidates are verified in rounds. In a
-   star round every class is paired with one randomly chosen centre per bucket
-   and only its most similar centre, by estimate, is verified. Classes that are
-   linked already need no further pair. After the star rounds, every pair of one
-   bucket that still lies in two components is verified, so no link is lost and
-   copies are never expanded into all pairs.
-4. A pair is verified if its estimate is at least `threshold - MARGIN`. The
+3. Within buckets of two or more classes, links are found in rounds. In a star
+   round every class is paired with one randomly chosen centre per bucket and only
+   its most similar centre, by estimate, is verified. Classes that are linked
+   already need no further pair. What then still lies in two components of one
+   bucket meets the bucket's members in bounded blocks, which compare full sets and
+   give only the links of a spanning forest: no link between components is lost,
+   and copies are never expanded into all pairs.
+4. A pair of a star round is verified if its estimate is at least `threshold - MARGIN`. The
    estimate counts equal 2-bit fields and corrects for chance agreement:
    (share - 1/4) / (3/4). MARGIN is five standard errors.
 5. Links are confirmed on the full sets, and components give the classes.
@@ -47,6 +48,7 @@ BANDS = PERMUTATIONS // BAND_ROWS
 FIELD_BITS = 2
 MARGIN = 0.2
 STAR_ROUNDS = 2
+BLOCK_STRAYS, BLOCK_MEMBERS = 256, 1024
 
 _seeds = mix64(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _factors = ((_seeds[:PERMUTATIONS] >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -213,7 +215,6 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, text:
     )
     nodes = nodes.drop("_id", "_th")
 
-    tried = None
     for turn in range(STAR_ROUNDS):
         placed = members.join(nodes, "set_key")
         centre = placed.groupBy("key").agg(
@@ -230,24 +231,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, text:
         )
         best = settled(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         links = settled(confirmed(best, texts, size, percent))
-        tried = best if tried is None else tried.union(best)
         nodes = settled(_merge_roots(nodes, links))
 
-    placed = members.join(nodes, "set_key")
-    # per bucket, the component with most members meets each of the others; the others meet all
-    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts"))
-    main = main.filter("parts > 1").select("key", "main")
-    open_rows = settled(placed.join(main, "key"))
-    strays = open_rows.filter("root <> main").select(
-        "key", F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("fields").alias("fa"), F.col("root").alias("ra"))
-    others = open_rows.select(
-        "key", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("fields").alias("fb"), F.col("root").alias("rb"),
-        (F.col("root") != F.col("main")).alias("stray"))
-    cross = strays.join(others, "key").filter("ra <> rb AND (NOT stray OR a < b)")
-    cross = _comparable(cross, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = settled(cross.join(tried, ["a", "b"], "left_anti"))
-    nodes = _merge_roots(nodes, settled(confirmed(rest, texts, size, percent)))
+    nodes = _merge_roots(nodes, settled(remaining_links(members, settled(nodes), texts, size, percent)))
 
     # classes outside any shared bucket are their own component
     rooted = settled(classes.join(nodes.select("set_key", "root"), "set_key", "left").select(
@@ -262,6 +248,72 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, text:
     )
 
 
+def remaining_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all components of a bucket that any pair in it joins.
+
+    Only buckets of several components count, and of buckets with the same members
+    one. There the classes outside the largest component (strays) meet all members
+    in blocks of at most BLOCK_STRAYS by BLOCK_MEMBERS sets. A block compares full
+    sets and gives the links of a spanning forest, fewer than it has sets, so neither
+    a task nor the output grows with the square of a bucket.
+    """
+    placed = members.join(nodes.select("set_key", "root"), "set_key")
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"), F.sum(F.xxhash64("set_key").cast("decimal(20,0)")).alias("sum"))
+    about = sizes.groupBy("key").agg(
+        F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts"),
+        F.sum("size").alias("members"), (F.sum("size") - F.max("size")).alias("strays"), F.sum("sum").alias("sum"))
+    open_keys = about.filter("parts > 1").groupBy("members", "sum").agg(F.min(F.struct("key", "main", "strays")).alias("k"))
+    rows = placed.join(open_keys.select("k.*", "members"), "key")
+    rows = rows.select("key", "set_key", "root", (F.col("root") != F.col("main")).alias("stray"),
+                       F.ceil(F.col("strays") / BLOCK_STRAYS).alias("ns"), F.ceil(F.col("members") / BLOCK_MEMBERS).alias("nm"))
+    place = F.xxhash64("set_key")
+    each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    left = rows.filter("stray").select("key", "set_key", "root", F.lit(True).alias("asks"),
+                                       F.pmod(place, F.col("ns")).alias("s"), F.explode(each(F.col("nm"))).alias("m"))
+    right = rows.select("key", "set_key", "root", F.lit(False).alias("asks"),
+                        F.explode(each(F.col("ns"))).alias("s"), F.pmod(place, F.col("nm")).alias("m"))
+    # a class is once in a block: as a stray it is also compared with the other strays
+    blocks = settled(left.unionByName(right).groupBy("key", "s", "m", "set_key").agg(F.first("root").alias("root"), F.max("asks").alias("asks")))
+    sets = _sets(texts.join(blocks.select("set_key").distinct(), "set_key", "left_semi"), size)
+    full = blocks.join(sets, "set_key").select("key", "s", "m", "set_key", "root", "asks", "shingles")
+
+    def block(table: pa.Table) -> pa.Table:
+        names = table.column("set_key").to_pylist()
+        column = table.column("shingles").combine_chunks()
+        ends = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py()
+        values, ids = np.unique(column.flatten().to_numpy(), return_inverse=True)
+        counts = np.diff(ends)
+        group = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        held = np.zeros(len(values), bool)
+        found = []
+        for k in np.flatnonzero(table.column("asks").to_numpy()):
+            mine = ids[ends[k] : ends[k + 1]]
+            held[mine] = True
+            shared = np.add.reduceat(held[ids], ends[:-1])
+            held[mine] = False
+            for other in np.flatnonzero(100 * shared >= percent * (counts + counts[k] - shared)):
+                if group[other] != group[k]:
+                    group[group == group[other]] = group[k]
+                    found.append((names[k], names[other]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
+
+    return full.groupBy("key", "s", "m").applyInArrow(block, "a binary, b binary").distinct()
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """(set_key, shingles) of (set_key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop, data, offsets in slices(batch.column(1)):
+                words = Words(data, offsets, fold=True)
+                sets = [shingle_set(words.of(row), size).view(np.int64) for row in range(stop - start)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, stop - start), pa.array(sets, pa.list_(pa.int64()))], names=["set_key", "shingles"])
+
+    return texts.select("set_key", "text").mapInArrow(run, "set_key binary, shingles array<long>")
+
+
 def _comparable(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose estimate comes near it."""
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
