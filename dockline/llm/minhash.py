@@ -9,9 +9,9 @@
    round every class is paired with one randomly chosen centre per bucket and only
    its most similar centre, by estimate, is verified. Classes that are linked
    already need no further pair. What then still lies in two components of one
-   bucket meets the bucket's members in bounded blocks, which compare full sets and
-   give only the links of a spanning forest: no link between components is lost,
-   and copies are never expanded into all pairs.
+   bucket meets the bucket's members in bounded blocks, which compare whole sets (by
+   32 bits of each hash) and give only the links of a spanning forest: no link
+   between components is lost, and copies are never expanded into all pairs.
 4. A pair of a star round is verified if its estimate is at least `threshold - MARGIN`. The
    estimate counts equal 2-bit fields and corrects for chance agreement:
    (share - 1/4) / (3/4). MARGIN is five standard errors.
@@ -253,7 +253,7 @@ def remaining_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, size
 
     Only buckets of several components count, and of buckets with the same members
     one. There the classes outside the largest component (strays) meet all members
-    in blocks of at most BLOCK_STRAYS by BLOCK_MEMBERS sets. A block compares full
+    in blocks of at most BLOCK_STRAYS by BLOCK_MEMBERS sets. A block compares whole
     sets and gives the links of a spanning forest, fewer than it has sets, so neither
     a task nor the output grows with the square of a bucket.
     """
@@ -297,21 +297,22 @@ def remaining_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, size
                     found.append((names[k], names[other]))
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
 
-    return full.groupBy("key", "s", "m").applyInArrow(block, "a binary, b binary").distinct()
+    found = settled(full.groupBy("key", "s", "m").applyInArrow(block, "a binary, b binary").distinct())
+    return confirmed(found, texts, size, percent)
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """(set_key, shingles) of (set_key, text)."""
+    """(set_key, shingles) of (set_key, text); half of each hash, which is what blocks compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop, data, offsets in slices(batch.column(1)):
                 words = Words(data, offsets, fold=True)
-                sets = [shingle_set(words.of(row), size).view(np.int64) for row in range(stop - start)]
+                sets = [(shingle_set(words.of(row), size) >> np.uint64(32)).astype(np.uint32).view(np.int32) for row in range(stop - start)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, stop - start), pa.array(sets, pa.list_(pa.int64()))], names=["set_key", "shingles"])
+                    [batch.column(0).slice(start, stop - start), pa.array(sets, pa.list_(pa.int32()))], names=["set_key", "shingles"])
 
-    return texts.select("set_key", "text").mapInArrow(run, "set_key binary, shingles array<long>")
+    return texts.select("set_key", "text").mapInArrow(run, "set_key binary, shingles array<int>")
 
 
 def _comparable(pairs: DataFrame, percent: int) -> DataFrame:
