@@ -4,7 +4,8 @@ Every run of 64 bytes has an entropy, in thousandths of the largest possible. A
 first pass counts the entropies of all windows of all documents; the rarer an
 entropy, the lower its rank. A window is selected if it is the leftmost one of
 lowest rank in at least 16 of the 64-window spans that hold it. Selected windows
-are hashed into a chain of Bloom filters of 2048 bits, 160 windows each.
+are hashed into a chain of Bloom filters of 2048 bits, 160 windows each. A text
+that is too short or too regular for that takes its lowest windows at any popularity.
 
 Two fingerprints are compared by the bits their filters share, less what chance
 gives, over the most they could share. Each filter of the shorter chain takes its
@@ -26,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockline.llm.common import batch_texts, hash_spans, keyed, shuffle_width, slices
+from dockline.llm.common import batch_texts, hash_spans, keyed, mix64, shuffle_width, slices
 
 WINDOW = 64
 SHORT_WINDOW = 16
 LEVELS = 1001
 PLAIN_LEVEL = 100  # windows of less entropy are taken last
 POPULAR = 16
+FEW = 4  # a text with fewer popular windows takes the lowest window of every span
+SPARSE = 256  # below this size it takes its short windows too, since an edit reaches most long ones
+LEAST = 32  # such a text enters its windows under further hashes up to this many, so that chance makes no likeness
 FILTER_BITS = 2048
 FILTER_WINDOWS = 160
 HASHES, HASH_BITS = 5, 11
@@ -110,7 +114,9 @@ def selected(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[
     """(text number, 64-bit hash) of the selected windows of a slice, in order.
 
     A text of 1 to 63 bytes has too few for a choice: all its windows of 16 bytes are
-    taken, or the whole of a shorter one.
+    taken, or the whole of a shorter one. A longer text with fewer than FEW popular
+    windows takes the lowest window of each span, whatever its popularity, and also its
+    windows of 16 bytes if it is under SPARSE bytes; so no text of a byte or more is left out.
     """
     laid = Padded(data, offsets)
     levels = laid.levels()
@@ -123,9 +129,11 @@ def selected(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     low = low[valid[: len(low)]]
-    popular = np.bincount(low & ((1 << bits) - 1), minlength=size) >= POPULAR
-    cells = np.flatnonzero(popular & valid)
+    held = np.bincount(low & ((1 << bits) - 1), minlength=size)
+    cells = np.flatnonzero((held >= POPULAR) & valid)
     owner = np.searchsorted(laid.starts, cells, side="right") - 1
+    few = (laid.lengths >= WINDOW) & (np.bincount(owner, minlength=len(laid.lengths)) < FEW)
+    cells, owner = cells[~few[owner]], owner[~few[owner]]
     at = cells - WINDOW * owner
     hashes = hash_spans(data, at, at + WINDOW)
     short = np.flatnonzero((laid.lengths > 0) & (laid.lengths < WINDOW))
@@ -135,11 +143,32 @@ def selected(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[
         begins = np.concatenate([o + np.arange(c) for o, c in zip(offsets[short], counts, strict=True)])
         hashes = np.concatenate([hashes, hash_spans(data, begins, begins + np.repeat(spans, counts))])
         owner = np.concatenate([owner, np.repeat(short, counts)])
+    found, rows = [hashes], [owner]
+    for row in np.flatnonzero(few):
+        start, length = laid.starts[row], laid.lengths[row]
+        begins = offsets[row] + np.flatnonzero(held[start : start + length - WINDOW + 1])
+        own = [_filled(hash_spans(data, begins, begins + WINDOW))]
+        if length < SPARSE:
+            begins = offsets[row] + np.arange(length - SHORT_WINDOW + 1)
+            own.append(_filled(hash_spans(data, begins, begins + SHORT_WINDOW)))
+        found += own
+        rows.append(np.full(sum(map(len, own)), row))
+    hashes, owner = np.concatenate(found), np.concatenate(rows)
+    if len(short) or few.any():
         order = np.argsort(owner, kind="stable")
         owner, hashes = owner[order], hashes[order]
     return owner, hashes
 
 
+def _filled(hashes: np.ndarray) -> np.ndarray:
+    """Distinct hashes in order, then the same ones mixed anew while there are fewer than LEAST."""
+    _, first = np.unique(hashes, return_index=True)
+    out = [hashes[np.sort(first)]]
+    while len(out) * len(out[0]) < LEAST:
+        out.append(mix64(out[-1] + np.uint64(len(out))))
+    return np.concatenate(out)
+
+
 def chains(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> list[np.ndarray]:
     """The Bloom filters of each text, as rows of 256 bytes; no rows for an empty text."""
     owner, hashes = selected(data, offsets, ranks)

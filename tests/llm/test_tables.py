@@ -60,6 +60,20 @@ def test_fingerprints_match_the_plain_edit(spark):
     assert got[100].fingerprint == got[101].fingerprint == ""
 
 
+def test_short_and_periodic_texts_have_fingerprints_of_their_own(spark):
+    pick = random.Random(8)
+    texts = ["".join(pick.choice("abcdefghij klmnopqrst uvw.") for _ in range(n)) for n in range(64, 151)]
+    texts += ["a" * 5000, "0123456789" * 300, "xy" * 40, "-=" * 60]
+    texts += ["".join(pick.choice("abcdefghij klmnopqrst uvw.") for _ in range(60000))]
+    docs = [d for k, t in enumerate(texts) for d in ((2 * k, t), (2 * k + 1, "".join(pick.choice("ABCDEFGHIJ KLMNOPQRS") for _ in range(64 + k))))]
+    df = spark.createDataFrame([(*d, "", "", "") for d in docs], DIGEST).repartition(3)
+    got = {r.doc_id: r for r in digest.fingerprints(df).collect()}
+    assert all(r.fingerprint and r.edited_fingerprint for r in got.values())
+    assert max(r.near_next for r in got.values()) < 0.5
+    plain = [got[2 * k] for k in range(87)]
+    assert all(r.near_edited < 1 for r in plain) and sum(r.near_edited > 0.1 for r in plain) >= 80
+
+
 def test_fingerprints_of_repeated_rows_one_row_and_an_empty_table(spark):
     rows = [(1, "one text of some length", "", "", "")] * 2
     got = digest.fingerprints(spark.createDataFrame(rows, DIGEST)).collect()
