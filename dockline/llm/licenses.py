@@ -2,8 +2,10 @@
 
 Each line of a text (a header statement) and the text as a whole (a licence file)
 is a sparse TF-IDF vector; terms the templates lack weigh as the rarest. The
-best template at or above the threshold names the licence. A text without a
-statement of its own inherits from the nearest ancestor directory that holds a
+best template at or above the threshold names the licence. Where neither says
+anything, every stretch of the text's terms as long as a template is compared with
+it, over line ends and inside lines, so a wrapped header or a statement among other
+words counts as well. A text without a statement of its own inherits from the nearest ancestor directory that holds a
 licence file.
 
 DataFrame functions only. A vector of cosine >= t to a template must share enough
@@ -102,13 +104,18 @@ def best_matches(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
 
     `files` has _key and text. Ties go to the first template.
     """
-    spark = files.sparkSession
-    weights, rare = term_weights(templates)
     hint = F.lit("(?<![a-z0-9])(?:" + "|".join(needed_terms(templates, threshold)) + ")(?![a-z0-9])")
     texts = files.select("_key", _folded("text").alias("text")).filter(F.regexp_like("text", hint))
     lines = texts.select("_key", F.posexplode(F.split("text", "\n", -1)).alias("unit", "text")).filter(F.regexp_like("text", hint))
     units = lines.unionByName(texts.select("_key", F.lit(-1).alias("unit"), "text"))
     terms = units.select("_key", "unit", F.explode(F.regexp_extract_all("text", F.lit(f"({TERM})"))).alias("term"))
+    return _scored(terms, templates, threshold)
+
+
+def _scored(terms: DataFrame, templates, threshold: float) -> DataFrame:
+    """(_key, unit, template, license, score) of the units of (_key, unit, term) that reach the threshold."""
+    spark = terms.sparkSession
+    weights, rare = term_weights(templates)
     counted = terms.groupBy("_key", "unit", "term").agg(F.count("*").alias("n"))
     # both tables are as long as the templates' terms
     known = spark.createDataFrame(sorted(weights.items()), "term string, idf double")
@@ -130,11 +137,56 @@ def best_matches(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
         F.get(names, -F.col("best.place")).alias("license"), F.col("best.score").alias("score"))
 
 
+def stretch_matches(files: DataFrame, stated: DataFrame | None = None, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """As best_matches, for every run of as many terms as a template has; unit is that of the run's place.
+
+    The cosine to a template is at most the norm of its shares of the terms that are
+    present, and a match holds a needed term. Texts and runs are left out by these
+    two bounds only, so nothing that could match is lost. Texts whose _key is in `stated`
+    are left out; the bounds go first, so only texts that pass them are shuffled.
+    """
+    needed = F.array(*[F.lit(t) for t in needed_terms(templates, threshold)])
+    hint = F.lit("(?<![a-z0-9])(?:" + "|".join(needed_terms(templates, threshold)) + ")(?![a-z0-9])")
+    least = threshold * threshold - 1e-6
+
+    def bound(entries: Column, present: Column) -> Column:
+        held = F.filter(entries, lambda e: F.array_contains(present, e["term"]))
+        return F.aggregate(held, F.lit(0.0), lambda total, e: total + e["share"] * e["share"])
+
+    shapes = F.array(*[
+        F.struct(F.lit(sum(terms_of(text).values())).alias("size"),
+                 F.array(*[F.struct(F.lit(t).alias("term"), F.lit(v).alias("share")) for t, v in vector.items()]).alias("entries"))
+        for (_, text), (_, _, vector) in zip(templates, template_vectors(templates), strict=True)])
+    texts = files.select("_key", _folded("text").alias("text")).filter(F.regexp_like("text", hint))
+    # each explode of one element keeps what it holds from being computed again inside a lambda
+    split = texts.select("_key", F.explode(F.array(F.regexp_extract_all("text", F.lit(f"({TERM})")))).alias("terms"))
+    known = F.array(*[F.lit(t) for t in term_weights(templates)[0]])
+    split = split.select("_key", "terms", F.explode(F.array(F.array_intersect("terms", known))).alias("present"))
+    fitting = split.select("_key", "terms", F.filter(shapes, lambda s: bound(s["entries"], F.col("present")) >= least).alias("shapes"))
+    fitting = fitting.filter(F.size("shapes") > 0)
+    if stated is not None:
+        fitting = fitting.join(stated.select("_key").distinct(), "_key", "left_anti")
+    fitting = fitting.dropDuplicates(["_key"]).select("_key", "terms", F.explode("shapes").alias("shape"))
+    places = F.filter(F.transform("terms", lambda t, i: F.when(F.array_contains(needed, t), i + 1)), lambda p: p.isNotNull())
+    size, last = F.col("shape.size"), F.greatest(F.lit(1), F.size("terms") - F.col("shape.size") + 1)
+    starts = F.flatten(F.transform(places, lambda p: F.sequence(
+        F.least(last, F.greatest(F.lit(1), p - size + 1)), F.least(p, last))))
+    runs = fitting.select("_key", "shape", "terms", F.array_distinct(starts).alias("starts"))
+    runs = runs.select("_key", "shape", F.explode(F.transform("starts", lambda s: F.struct(
+        s.alias("at"), F.slice("terms", s, F.col("shape.size")).alias("run")))).alias("r"))
+    runs = runs.filter(bound(F.col("shape.entries"), F.col("r.run")) >= least)
+    # two templates of one length share their runs
+    unit = F.col("r.at").cast("long") * (max(sum(terms_of(text).values()) for _, text in templates) + 1) + size
+    units = runs.select("_key", unit.alias("unit"), F.col("r.run").alias("run")).dropDuplicates(["_key", "unit"])
+    return _scored(units.select("_key", "unit", F.explode("run").alias("term")), templates, threshold)
+
+
 def scanned(files: DataFrame, *, path: str = "path", text: str = "text", templates=TEMPLATES,
             threshold: float = THRESHOLD) -> DataFrame:
     """All columns of `files` but the text, and: license, license_score, license_by, license_from.
 
-    license_by is `header` (a line of the text), `file` (the text as a whole, or a
+    license_by is `header` (a line of the text, or a stretch as long as a template where
+    no line and not the whole text is a statement), `file` (the text as a whole, or a
     file named LICENSE or COPYING with a statement), `inherited` (from the licence
     file license_from in the nearest ancestor directory) or null. Of several lines
     the best counts, then the first; of several licence files of a directory the
@@ -144,7 +196,10 @@ def scanned(files: DataFrame, *, path: str = "path", text: str = "text", templat
     key = F.struct(F.col(f"`{path}`").cast("string").alias("p"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"))
     rest = [F.col(f"`{c}`") for c in files.columns if c != text]
     rows = files.select(F.struct(*rest).alias("_row"), key.alias("_key"))
-    found = best_matches(files.select(key.alias("_key"), F.col(f"`{text}`").cast("string").alias("text")).distinct(), templates, threshold)
+    texts = files.select(key.alias("_key"), F.col(f"`{text}`").cast("string").alias("text"))
+    found = settled(best_matches(texts.distinct(), templates, threshold))
+    runs = stretch_matches(texts, found, templates, threshold)
+    found = found.withColumn("unit", F.col("unit").cast("long")).unionByName(runs)
     own = found.groupBy("_key").agg(
         F.max(F.when(F.col("unit") < 0, F.struct("score", (-F.col("template")).alias("t"), "license"))).alias("whole"),
         F.max(F.when(F.col("unit") >= 0, F.struct("score", (-F.col("unit")).alias("u"), "license"))).alias("line"),

@@ -145,6 +145,41 @@ def test_licenses_match_the_plain_version_and_inherit(spark):
     assert licenses.scanned(spark.createDataFrame([], FILES)).collect() == []
 
 
+WRAPPED = {
+    "MIT": """/*
+ * Copyright (c) 2015 Jane Doe
+ *
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ */""",
+    "BSD-3-Clause": """# Copyright 2011 Foo Corp. All rights reserved.
+#
+# Redistribution and use in source and binary forms, with or
+# without modification, are permitted provided that the following
+# conditions are met:""",
+    "GPL-3.0": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.""",
+    "Apache-2.0": """; Licensed under the
+; Apache License, Version
+; 2.0 (the "License"); you may not
+; use this file except in compliance
+; with the License.""",
+}
+
+
+def test_wrapped_headers_above_other_text(spark):
+    body = "\n\nimport os\n" + "\n".join(f"value{i} = compute(item{i})  # work for later" for i in range(80))
+    files = [(f"{name}/{k}.py", lead + header + body) for name, header in WRAPPED.items() for k, lead in enumerate(("", "#!/bin/env tool\nmore words here\n"))]
+    files += [("none/a.py", "the general public may use this software free of charge under the terms" + body), ("none/b.py", "permission license copy software" + body)]
+    df = spark.createDataFrame([(*f, None, None, None, None) for f in files], FILES).repartition(3)
+    got = {r.path: (r.license, r.license_by) for r in licenses.scanned(df).collect()}
+    assert got == {p: (None, None) if p.startswith("none") else (p.split("/")[0], "header") for p, _ in files}
+
+
 def test_license_filter_loses_no_match(spark):
     pick = random.Random(1)
     pool = sorted({t for _, text in licenses.TEMPLATES for t in licenses.terms_of(text)}) + ["foo", "bar"]
