@@ -180,6 +180,14 @@ def test_wrapped_headers_above_other_text(spark):
     assert got == {p: (None, None) if p.startswith("none") else (p.split("/")[0], "header") for p, _ in files}
 
 
+def test_statements_among_other_words_of_a_line(spark):
+    files = [("MIT/a.c", "// Copyright 2020 Foo Corp. Released under the MIT License"),
+             ("Apache-2.0/b.c", "Copyright (c) 2015 Jane Doe. Licensed under the Apache License, Version 2.0")]
+    df = spark.createDataFrame([(p, t + "\nint main;\n", None, None, None, None) for p, t in files], FILES)
+    got = {r.path: (r.license, r.license_score, r.license_by) for r in licenses.scanned(df).collect()}
+    assert got == {p: (p.split("/")[0], 1.0, "header") for p, _ in files}
+
+
 def test_license_filter_loses_no_match(spark):
     pick = random.Random(1)
     pool = sorted({t for _, text in licenses.TEMPLATES for t in licenses.terms_of(text)}) + ["foo", "bar"]
