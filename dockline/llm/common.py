@@ -205,3 +205,42 @@ def components(edges: DataFrame) -> DataFrame:
 
 def hex_sha256(column: Column) -> Column:
     return F.sha2(column, 256)
+
+
+class Tokens:
+    """Exact word numbers of a slice: words are the runs of bytes that `separator` does not mark.
+
+    `ids` numbers equal words alike within the slice, `names` has the word of each
+    number, `starts` the first byte of each word and `first` the first word of each text.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray):
+        inside = ~separator[data]
+        opens, closes = inside.copy(), inside.copy()
+        if len(data):
+            opens[1:] &= ~inside[:-1]
+            closes[:-1] &= ~inside[1:]
+            inner = offsets[1:-1]
+            inner = inner[(inner > 0) & (inner < len(data))]
+            opens[inner] = inside[inner]
+            closes[inner - 1] = inside[inner - 1]
+        self.starts = np.flatnonzero(opens)
+        ends = np.flatnonzero(closes) + 1
+        self.first = np.searchsorted(self.starts, offsets)
+        bounds = np.zeros(len(self.starts) + 1, np.int64)
+        np.cumsum(ends - self.starts, out=bounds[1:])
+        words = pa.Array.from_buffers(
+            pa.large_binary(), len(self.starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]
+        ).dictionary_encode()
+        self.ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.names = words.dictionary
+
+
+def renamed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Dense numbers of the pairs (first, second) that occur twice or more, -1 for the others."""
+    out = np.full(len(first), -1, np.int64)
+    if len(first):
+        _, number, count = np.unique(first * (second.max() + 1) + second, return_inverse=True, return_counts=True)
+        again = count > 1
+        out = np.where(again, np.cumsum(again) - 1, -1)[number]
+    return out

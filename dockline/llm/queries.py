@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockline.llm import bpe, digest, idcoder, licenses, lines, minhash, mixing, quality, superkmer, warc
+from dockline.llm import (
+    bpe, collocations, decontaminate, digest, idcoder, licenses, lines, minhash, mixing, periodic, quality, superkmer, warc,
+)
 from dockline.llm.common import shared_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -102,6 +104,44 @@ def op9_digest(spark: SparkSession, folder: str) -> DataFrame:
     return digest.fingerprints(_table(spark, folder, "documents"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents the words from place a on repeat with period p.
+
+    h is the crc32 of the decimal doc_id and g = floor(h / 10); texts with h % 10 = 0 and
+    n > 0 words change, with a = g % n and p = 1 + floor((n - a) / (3 + g % 8)). A null id
+    leaves its text as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    split = docs.select("doc_id", "text", h.alias("h")).withColumn("ws", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("ws"))
+    g = F.floor(F.col("h") / 10)
+    placed = split.withColumn("g", g).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn(
+        "p", 1 + F.expr("(n - a) div (3 + g % 8)"))
+    periodic = F.transform("ws", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("ws", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(periodic, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_periods(_table(spark, folder, "documents")))
+    top = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"),
+        top["period"].alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        "runs_sha256", F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
+def op13_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 # target weights of the production mixture; a name that is not listed weighs 1
 MIX_WEIGHTS = {
     "domain": {"web": 0.5, "books": 1.5},
@@ -177,6 +217,9 @@ QUERIES = {
     "op8_super_kmers": op8_super_kmers,
     "op9_digest": op9_digest,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_decontaminate": op13_decontaminate,
 }
 
 ORACLES = {
@@ -274,4 +317,91 @@ kept AS (
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op11_collocations": r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i
+  FROM w, (SELECT unnest([1, 2, 3]) AS size) WHERE len(ws) >= size),
+f AS (SELECT lang, size, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, size, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE size > 1 AND f >= 10),
+cut AS (
+  SELECT lang, phrase, size, a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y
+  FROM c, (SELECT unnest([1, 2]) AS k) WHERE k < size),
+s AS (
+  SELECT cut.lang, cut.phrase, size, a, k, l.f AS l, r.f AS r,
+         CAST((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cut JOIN (SELECT lang, phrase AS x, f FROM f) l USING (lang, x) JOIN (SELECT lang, phrase AS y, f FROM f) r USING (lang, y)),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE size = 3),
+cover AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL),
+best AS (
+  SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM low LEFT JOIN cover USING (lang, phrase) WHERE size = 3 OR longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM best JOIN n USING (lang) WHERE rank <= 2000""",
+    "op12_periodic_runs": r"""
+WITH RECURSIVE bits(i, step, x) AS (
+  SELECT unnest(range(256)), 0, unnest(range(256))
+  UNION ALL
+  SELECT i, step + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM bits WHERE step < 8),
+crc AS (SELECT list(x ORDER BY i) AS held FROM bits WHERE step = 8),
+w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda c, b: xor(c >> 8, held[(xor(c, b) & 255) + 1]))) AS h
+  FROM documents, crc),
+placed AS (SELECT doc_id, ws, h, len(ws) AS n, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a, 3 + (h // 10) % 8 AS m FROM w),
+t AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % (1 + (n - a) // m) + 1] END)
+    ELSE ws END AS ws
+  FROM placed),
+five AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(ws, i + 1, i + 5), ' ') AS g
+  FROM (SELECT doc_id, n, ws, unnest(range(0, n - 4)) AS i FROM t WHERE n >= 6)),
+pair AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM five x JOIN five y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+island AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + 4 + q AS len
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM pair) GROUP BY doc_id, q, part
+  HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+run AS (SELECT doc_id, s, len, min(q) AS q FROM island GROUP BY doc_id, s, len),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', len, ',', q, chr(10)), '' ORDER BY s, q) AS lines FROM run GROUP BY doc_id),
+top AS (
+  SELECT doc_id, s, len, q FROM run x
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len::DOUBLE / q DESC, s, q) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM run),
+word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(0, n)) AS i FROM t),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, s AS "start", len AS length, q AS period, 1000 * len // q AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM t LEFT JOIN listed USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_decontaminate": r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS size, array_to_string(list_slice(ws, i, i + 9), ' ') AS win
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM iw WHERE len(ws) > 0)),
+dwin AS (
+  SELECT doc_id, size, i, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS win
+  FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i
+        FROM dw, (SELECT DISTINCT size FROM wins) WHERE len(ws) >= size)),
+hit AS (SELECT doc_id, item_id, size, i FROM dwin JOIN wins USING (size, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
 }
