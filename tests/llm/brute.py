@@ -138,3 +138,71 @@ def mixture(rows, weights, share, epochs, seed):
             out[name] = whole + (before < rest)
             before += n
     return out
+
+
+def runs(ws, least=6, copies=4):
+    """[(start, length, period)] straight from the definition."""
+    found = []
+    for q in range(1, len(ws) // copies + 1):
+        s = 0
+        while s + q < len(ws):
+            e = s
+            while e + q < len(ws) and ws[e] == ws[e + q]:
+                e += 1
+            length = e - s + q
+            if e > s and length >= max(least, copies * q):
+                part = ws[s : s + length]
+                if all(any(part[i] != part[i + p] for i in range(length - p)) for p in range(1, q)):
+                    found.append((s, length, q))
+            s = e + 1
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def collapsed(ws, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(ws) if i not in gone)
+
+
+def phrases(docs, floor, longest, cover, top):
+    """Rows of the collocation table for (text, lang)."""
+    counts, totals = defaultdict(Counter), Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\n-\r]", fold(text)):
+            ws = re.findall(r"[^ \t]+", piece)
+            totals[lang] += len(ws)
+            for size in range(1, longest + 1):
+                for i in range(len(ws) - size + 1):
+                    counts[lang][tuple(ws[i : i + size])] += 1
+    out = []
+    for lang, held in counts.items():
+        often = {p: a for p, a in held.items() if len(p) > 1 and a >= floor}
+        rows = []
+        for p, a in often.items():
+            score, k = min((10**6 * a * a // (held[p[:k]] * held[p[k:]]), k) for k in range(1, len(p)))
+            longer = [b for o, b in often.items() if len(o) > len(p) and any(o[i : i + len(p)] == p for i in range(len(o)))]
+            if not any(100 * b >= cover * a for b in longer):
+                rows.append((-score, -a, " ".join(p).encode(), held[p[:k]], held[p[k:]]))
+        for rank, (score, a, p, left, right) in enumerate(sorted(rows)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, totals[lang], -score))
+    return sorted(out)
+
+
+def contaminated(docs, items, size=10):
+    """[(n_words, hit words as text, items)] for texts and (item, text)."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = defaultdict(set)
+    for name, text in items:
+        ws = word.findall(fold(text))
+        for i in range(max(len(ws) - size, 0) + 1 if ws else 0):
+            windows[tuple(ws[i : i + size])].add(name)
+    out = []
+    for text in docs:
+        ws, hit, names = word.findall(fold(text)), set(), set()
+        for window, held in windows.items():
+            for i in range(len(ws) - len(window) + 1):
+                if tuple(ws[i : i + len(window)]) == window:
+                    hit.update(range(i, i + len(window)))
+                    names |= held
+        out.append((len(ws), len(hit), sorted(n for n in names if n is not None)))
+    return out
