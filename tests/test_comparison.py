@@ -124,7 +124,8 @@ def _stable(spark):
 def test_interaction_detector_stays_quiet_on_a_stable_gap(spark):
     row = comparison.stratified_comparison(_stable(spark)).summary.first()
     assert not row["interaction_detected"] and not row["is_sign_flip"]
-    assert "stable" in row["verdict"]
+    assert abs(abs(row["pooled_gap_pp"]) - 10) < 3 and row["gap_range_pp"] < 5
+    assert f"{row['pooled_gap_pp']:+.2f}" in row["verdict"]
 
 
 def test_interaction_detector_fires_on_the_generated_gap(spark):
