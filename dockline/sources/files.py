@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dockline.operators.ingest import PUBLISHED_COLUMNS, interpret
+from dockline.sources.split_csv import read_records
 
 PATIENT_COLUMNS = ("Age", "Sex", "BP", "Cholesterol", "Na_to_K", "Drug")
 PATIENT_SCHEMA = T.StructType(
@@ -27,38 +30,48 @@ EXPECTED_ROWS = {"drug200": 200, "scms": 10324}
 SCHEMAS = {"drug200": PATIENT_SCHEMA, "scms": SHIPMENT_TEXT_SCHEMA}
 
 
-def _read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+def _bytes(setting: str) -> int:
+    """A size setting such as `128m` or `134217728b` in bytes."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", setting.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+def _is_large(spark: SparkSession, path: str) -> bool:
+    """Whether a file at `path` is longer than what Spark gives one task to read."""
+    longest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+    return longest > _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+
+
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType, split: bool | None = None) -> DataFrame:
     """CSV bound by header name, with the types of `schema`.
 
     Columns may stand in any order and others may be there; a byte-order mark before
     the first header is dropped; an absent header raises ``ValueError`` naming it.
     Everything is read as text and cast, a value that does not fit becoming null.
-    Quoted line breaks are kept; `multi_line=False` lets Spark split a large file
-    that has none.
+    Quoted line breaks are kept. A file longer than a task's share of input is read
+    by many tasks (`split_csv`), a shorter one by one; `split` forces either.
     """
-    text = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("encoding", "UTF-8")
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "encoding": "UTF-8"}
+    text = spark.read.options(header=True, inferSchema=False, **options).csv(path)
     held = {name.lstrip("\ufeff").strip(): name for name in text.columns}
     absent = [field.name for field in schema if field.name not in held]
     if absent:
         raise ValueError(f"{path} has no column {', '.join(map(repr, absent))}")
+    if _is_large(spark, path) if split is None else split:
+        text = read_records(spark, path, text.columns, options)
     return text.select(
         *[F.col(f"`{held[f.name]}`").try_cast(f.dataType).alias(f.name) for f in schema]
     )
 
 
-def load_table(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """A dataset exactly as published; an unknown name raises ``KeyError``."""
+def load_table(spark: SparkSession, name: str, path: str, split: bool | None = None) -> DataFrame:
+    """A dataset exactly as published; an unknown name raises ``KeyError``.
+
+    `split` says whether one file is read by many tasks; left out, its size decides.
+    """
     if name not in SCHEMAS:
         raise KeyError(f"unknown dataset {name!r}; known: {sorted(SCHEMAS)}")
-    return _read_csv(spark, path, SCHEMAS[name])
+    return _read_csv(spark, path, SCHEMAS[name], split)
 
 
 def load_shipments_published(spark: SparkSession, path: str) -> DataFrame:
