@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dockline.config import DEFAULTS, Settings
 from dockline.functions.columns import inline_rows, percent, rounded, tally
 from dockline.operators.comparison import crosstab
+from dockline.plans.cuts import Term, keys_at_ranks, precedes
 from dockline.plans.ranking import running, small_or_stored
 
 
@@ -153,36 +154,55 @@ def macro_auc(per_class: DataFrame, classes: int) -> DataFrame:
 
 
 # --- ranking reports --------------------------------------------------------------------------
-def _score_order(score: str, ties: list[str]) -> list[Column]:
-    return [F.col(score).desc(), *[F.col(c).asc() for c in ties]]
+def _score_order(score: str, ties: list[str]) -> list[Term]:
+    return [Term(score, ascending=False), *[Term(c) for c in ties]]
 
 
 def with_deciles(df: DataFrame, score: str, ties: list[str], name: str = "decile", parts: int = 10) -> DataFrame:
-    """Equal-width bands of the unique descending rank; 1 holds the highest scores."""
-    ranked = running(df, _score_order(score, ties), row_number="_rank")
-    total = ranked.agg(F.count("*")).scalar()
-    spread = F.try_divide((F.col("_rank") - 1) * parts, total - 1)
-    band = F.greatest(F.lit(1), F.coalesce(F.ceil(spread), F.lit(1))).cast("int")
-    return ranked.withColumn(name, band).drop("_rank")
+    """Equal-width bands of the unique descending rank; 1 holds the highest scores.
+
+    The last row of each band is found by rank selection and every row is compared with
+    those keys, so no row is moved. Rows equal in score and `ties` share a band.
+    """
+    order, total = _score_order(score, ties), df.count()
+    # (rank - 1) * parts / (rows - 1) <= band up to this rank
+    last = {band * (total - 1) // parts + 1 for band in range(1, parts)} if total else set()
+    keys = keys_at_ranks(df, order, sorted(last), rows=total)
+    dtypes = [df.schema[term.column].dataType for term in order]
+    band = F.lit(1)
+    for number in range(1, parts):
+        key = keys.get(number * (total - 1) // parts + 1) if total > 1 else None
+        if key is not None:
+            band = band + (~precedes(order, key, dtypes, or_equal=True)).cast("int")
+    return df.withColumn(name, band.cast("int"))
 
 
 def gains_curve(
     df: DataFrame, score: str, hit: str, ties: list[str], settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Positives captured in the top shares of a ranking, with precision and lift."""
+    """Positives captured in the top shares of a ranking, with precision and lift.
+
+    The last row of each share is found by rank selection; one aggregate counts the
+    positives up to it.
+    """
     shares = settings.gains_shares
+    order = _score_order(score, ties)
     rows = df.select(F.col(score), F.col(hit).cast("long").alias("_hit"), *ties)
-    ranked = running(rows, _score_order(score, ties), row_number="_rank", sums={"_caught": "_hit"})
-    total = ranked.agg(F.count("*")).scalar()
-    cuts = [F.greatest(F.rint(total * F.lit(s)).cast("long"), F.lit(1)) for s in shares]
-    wide = ranked.agg(
-        F.coalesce(F.max("_caught"), F.lit(0)).alias("hits"),
-        *[F.max(F.when(F.col("_rank") == cut, F.col("_rank"))).alias(f"n{i}") for i, cut in enumerate(cuts)],
-        *[F.max(F.when(F.col("_rank") == cut, F.col("_caught"))).alias(f"c{i}") for i, cut in enumerate(cuts)],
+    dtypes = [rows.schema[term.column].dataType for term in order]
+    total = rows.count()
+    cuts = [max(round(total * share), 1) for share in shares]
+    keys = keys_at_ranks(rows, order, sorted(set(cuts)), rows=total)
+    counts = [
+        F.sum(F.when(precedes(order, keys[cut], dtypes, or_equal=True), F.col("_hit"))) if cut in keys else F.lit(None).cast("long")
+        for cut in cuts
+    ]
+    wide = rows.agg(
+        F.coalesce(F.sum("_hit"), F.lit(0)).alias("hits"),
+        *[F.coalesce(count, F.lit(0) if cut in keys else count).alias(f"c{i}") for i, (cut, count) in enumerate(zip(cuts, counts, strict=True))],
     )
     records = []
     for i, share in enumerate(shares):
-        caught, reviewed = F.col(f"c{i}"), F.col(f"n{i}")
+        caught, reviewed = F.col(f"c{i}"), F.lit(cuts[i] if cuts[i] in keys else None).cast("long")
         rate = F.when(F.col("hits") > 0, 100.0 * caught / F.col("hits")).otherwise(0.0)
         records.append(
             {

@@ -5,7 +5,8 @@ frame is range-partitioned on (keys, order), each chunk is counted, and the
 chunk's starting offset is added to a numbering done inside the chunk. Range
 boundaries are sampled, so the partitioned frame is checkpointed before it is
 read twice: every later step sees the same chunk numbers, also after a lost
-executor.
+executor. Chunks are sorted before they are checkpointed and carry the place of each
+row, so row numbers move no row a second time; running sums do.
 """
 
 from __future__ import annotations
@@ -76,9 +77,11 @@ def running(
     spark = df.sparkSession
     count = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(count, *[F.col(k) for k in keys], *order)
-    ranged = settled(ranged.withColumn("_chunk", F.spark_partition_id()))
+    ranged = ranged.sortWithinPartitions(*[F.col(k) for k in keys], *order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # in its partition
+    ranged = settled(ranged.withColumn("_chunk", F.spark_partition_id()).withColumn("_place", place))
 
-    measures = [F.count("*").alias("_rows")]
+    measures = [F.count("*").alias("_rows"), F.min("_place").alias("_first")]
     measures += [F.sum(source).alias(f"_sum_{i}") for i, source in enumerate(sums.values())]
     totals = ranged.groupBy(*keys, "_chunk").agg(*measures)
     # at most one row per chunk and key touching it
@@ -87,6 +90,7 @@ def running(
     offsets = totals.select(
         *keys,
         "_chunk",
+        "_first",
         *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in names],
     )
     # one row per chunk without keys; with keys at most one more per key
@@ -96,9 +100,8 @@ def running(
     upto = local.rowsBetween(W.unboundedPreceding, 0)
     added = []
     if row_number is not None:
-        added.append(
-            (F.row_number().over(local) + F.col("_rows_before")).cast("long").alias(row_number)
-        )
+        number = F.col("_place") - F.col("_first") + F.col("_rows_before") + 1
+        added.append(number.cast("long").alias(row_number))
     for i, (name, source) in enumerate(sums.items()):
         added.append((F.sum(source).over(upto) + F.col(f"_sum_{i}_before")).alias(name))
     return joined.select(*df.columns, *added)

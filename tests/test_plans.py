@@ -1,5 +1,7 @@
 """Quantile and ranking plans against plain numpy and pandas."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dockline.operators import evaluation
+from dockline.plans import cuts
 from dockline.plans.quantiles import grouped_quantiles
 from dockline.plans.ranking import running
 
@@ -126,3 +130,58 @@ def test_both_quantile_branches_give_the_same_bits(spark):
     wanted = {f"q{i}": ("v", f) for i, f in enumerate((0.1, 0.25, 0.5, 0.75, 0.9, 0.95))}
     both = [sorted(map(tuple, grouped_quantiles(df, ["k"], wanted, direct).collect())) for direct in (0, 10_000)]
     assert both[0] == both[1]
+
+
+def _ordered(rows):
+    """Rows by score descending (null last), then name ascending (null first)."""
+    return sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+
+
+@pytest.mark.parametrize("levels", [1, 3, 10_000])
+@pytest.mark.parametrize("direct", [40, 100_000])
+def test_keys_at_ranks_equal_a_full_order(spark, levels, direct):
+    pick = random.Random(levels)
+    rows = [(pick.choice([None, float(pick.randrange(levels))]), pick.choice([None, f"n{pick.randrange(700)}"])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "score double, name string").repartition(5)
+    ranks = [0, 1, 2, 300, 1499, 1500, 2999, 3000, 3001]
+    order = [cuts.Term("score", ascending=False), cuts.Term("name")]
+    got = cuts.keys_at_ranks(df, order, ranks, direct_rows=direct, sample_keys=60)
+    assert got == {r: _ordered(rows)[r - 1] for r in ranks if 1 <= r <= 3000}
+
+
+def test_keys_at_ranks_of_equal_and_of_no_rows(spark):
+    df = spark.createDataFrame([(1.0, "a")] * 500, "score double, name string")
+    order = [cuts.Term("score"), cuts.Term("name")]
+    assert cuts.keys_at_ranks(df, order, [1, 250, 500], direct_rows=10, sample_keys=20) == dict.fromkeys([1, 250, 500], (1.0, "a"))
+    assert cuts.keys_at_ranks(df.limit(0), order, [1, 2]) == {}
+
+
+@pytest.mark.parametrize("count", [0, 1, 2, 9, 10, 11, 95])
+def test_deciles_and_gains_equal_the_ranked_rows(spark, count):
+    pick = random.Random(count)
+    rows = [(pick.choice([0.1, 0.5, 0.9]), f"{i:03d}", pick.random() < 0.3) for i in range(count)]
+    df = spark.createDataFrame(rows, "score double, name string, late boolean")
+    ranked = sorted(rows, key=lambda r: (-r[0], r[1]))
+    want = {r[1]: max(1, -(-i * 10 // (count - 1))) if count > 1 else 1 for i, r in enumerate(ranked)}
+    assert {r.name: r.decile for r in evaluation.with_deciles(df, "score", ["name"]).collect()} == want
+    for row in evaluation.gains_curve(df, "score", "late", ["name"]).collect():
+        if count:
+            reviewed = max(round(count * row.targeted_pct / 100), 1)
+            assert (row.shipments_reviewed, row.late_captured) == (reviewed, sum(r[2] for r in ranked[:reviewed]))
+        else:
+            assert row.shipments_reviewed is None
+
+
+def test_deciles_move_no_row(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("score"), "id")
+    plan = evaluation.with_deciles(df, "score", ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_row_numbers_are_shuffled_once(spark):
+    df = spark.createDataFrame([(k % 3 or None, k) for k in range(300)], "g long, v long").repartition(7)
+    out = running(df, [F.col("v").desc()], keys=["g"], row_number="n")
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    for g in (None, 1, 2):
+        values = sorted((r.v, r.n) for r in out.collect() if r.g == g)
+        assert [n for _, n in values] == list(range(100, 0, -1))
