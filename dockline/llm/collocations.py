@@ -35,8 +35,9 @@ LONGEST = 3
 COVER_PERCENT = 50
 TOP = 2000
 FILTER_BITS = 27
-SUFFIXES_A_TASK = 2_000_000
-SLICE_BYTES = 8 << 20
+SUFFIXES_A_TASK = 1_000_000
+SHORT = 128
+SLICE_BYTES = 4 << 20
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[ord(c) for c in " \t.,;:!?\n\v\f\r"]] = True
@@ -59,7 +60,7 @@ class _Pieces:
         words = Tokens(data, offsets, SEPARATOR)
         self.ids, self.names = words.ids, words.names
         count = len(self.ids)
-        piece = np.cumsum(BREAK[data], dtype=np.int64)[words.starts] if count else np.zeros(0, np.int64)
+        piece = np.searchsorted(np.flatnonzero(BREAK[data]), words.starts)
         piece += np.repeat(np.arange(len(offsets) - 1), np.diff(words.first))  # a text ends a piece
         ends = np.append(np.flatnonzero(piece[1:] != piece[:-1]) + 1, count)
         self.left = ends[np.searchsorted(ends, np.arange(count), side="right")] - np.arange(count)
@@ -172,40 +173,57 @@ def _suffixes(docs: DataFrame, longest: int, words: bytes, pairs: bytes) -> Data
 def quicksorted(keys: list[np.ndarray], weights: np.ndarray, floor: int) -> Iterator[tuple[int, int, int]]:
     """(depth, pointer, weight) of each phrase that reaches the floor, by multikey three-way quicksort.
 
-    `keys` are the word numbers by depth, 0 where a suffix has ended.
+    `keys` are the word numbers by depth, 0 where a suffix has ended. Short partitions
+    are counted outright.
     """
     parts = [(np.arange(len(weights)), 0)]
     while parts:
         pointers, depth = parts.pop()
-        if int(weights[pointers].sum()) < floor:
+        held = weights.take(pointers)
+        if int(np.add.reduce(held)) < floor:
             continue  # nothing in here can reach the floor
-        key = keys[depth][pointers]
-        sample = np.sort(key[:: len(key) // 9 + 1])
-        pivot = sample[len(sample) // 2]
+        if len(pointers) <= SHORT:
+            yield from _short([k.take(pointers).tolist() for k in keys[depth:]], pointers, held.tolist(), depth, floor)
+            continue
+        key = keys[depth].take(pointers)
+        pivot = sorted((int(key[0]), int(key[len(key) // 2]), int(key[-1])))[1]
         low, high = key < pivot, key > pivot
-        equal = pointers[~(low | high)]
+        equal = ~(low | high)
         if pivot > 0:
-            weight = int(weights[equal].sum())
+            weight = int(np.add.reduce(held[equal]))
             if weight >= floor:
-                yield depth, int(equal[0]), weight
+                same = pointers[equal]
+                yield depth, int(same[0]), weight
                 if depth + 1 < len(keys):
-                    parts.append((equal, depth + 1))
-        if len(equal) < len(pointers):
-            parts.append((pointers[low], depth))
-            parts.append((pointers[high], depth))
+                    parts.append((same, depth + 1))
+        for side in (low, high):
+            rest = pointers[side]
+            if len(rest):
+                parts.append((rest, depth))
+
+
+def _short(keys: list[list[int]], pointers: np.ndarray, weights: list[int], depth: int, floor: int) -> Iterator[tuple[int, int, int]]:
+    counts: dict[int, int] = {}
+    for word, weight in zip(keys[0], weights, strict=True):
+        counts[word] = counts.get(word, 0) + weight
+    for word, weight in counts.items():
+        if word and weight >= floor:
+            same = [at for at, other in enumerate(keys[0]) if other == word]
+            yield depth, int(pointers[same[0]]), weight
+            if len(keys) > 1:
+                yield from _short([[k[at] for at in same] for k in keys[1:]], pointers[same], [weights[at] for at in same], depth + 1, floor)
 
 
 def _edges(keys: list[np.ndarray]) -> list[tuple[int, int, np.ndarray]]:
     """For each depth the pointers of the phrases that start or end the range, which may go on elsewhere."""
-    order = np.lexsort(keys[::-1])
     out = []
-    for depth in range(len(keys) - 1):
-        for end in (order[0], order[-1]):
-            same = np.ones(len(order), bool)
-            for k in range(depth + 1):
-                same &= keys[k] == keys[k][end]
-            if keys[depth][end] > 0:
-                out.append((depth, int(end), np.flatnonzero(same)))
+    for pick in (np.min, np.max):
+        same = np.arange(len(keys[0]))
+        for depth in range(len(keys) - 1):
+            key = keys[depth][same]
+            same = same[key == pick(key)]
+            if keys[depth][same[0]] > 0:
+                out.append((depth, int(same[0]), same))
     return out
 
 
@@ -252,7 +270,7 @@ def phrase_counts(docs: DataFrame, *, floor: int = FLOOR, longest: int = LONGEST
     own = docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), docs[text].cast("string").alias("text"))
     words = _filter(_word_hashes(own), floor)
     pairs = _filter(_pair_hashes(own, words), floor)
-    suffixes = stored(_suffixes(own, longest, words, pairs), "suffixes")
+    suffixes = stored(_suffixes(own, longest, words, pairs), "suffixes", "snappy")
     columns = ["lang", *[f"w{k}" for k in range(longest)]]
     width = max(shuffle_width(docs.sparkSession), math.ceil(suffixes.count() / SUFFIXES_A_TASK))
     counted = _counted(suffixes.repartitionByRange(width, *columns), longest, floor)
