@@ -518,25 +518,17 @@ def _stored_summary(spark, folder):
 add("stored_model_summary", _stored_summary)
 
 
-def _exported(kind):
-    def build(spark, folder):
-        use_checkpoint_dir(spark)
-        path = f"{spark.sparkContext.getCheckpointDir()}/export-{kind}"
-        report = quality.missing_value_report(t.stored_shipments(spark, folder))
-        if kind == "csv":
-            files.write_csv(report, path)
-            return spark.read.option("header", True).csv(path).select("column", "missing_count", "severity")
-        written = files.write_reports({"missing": report}, path)
-        return spark.read.parquet(written[0]).drop("dtype")
-
-    return build
+def _exported(spark, folder):
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/export-csv"
+    files.write_csv(quality.missing_value_report(t.stored_shipments(spark, folder)), path)
+    return spark.read.option("header", True).csv(path).select("column", "missing_count", "severity")
 
 
 add(
     "csv_export",
-    _exported("csv"),
+    _exported,
     SHIP
     + f""", m AS ({MISSING}) SELECT "column", CAST(missing_count AS VARCHAR) AS missing_count, severity
       FROM (SELECT *, {SEVERITY} FROM m)""",
 )
-add("audit_export", _exported("reports"), SHIP + f", m AS ({MISSING}) SELECT *, {SEVERITY} FROM m")

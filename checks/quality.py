@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from checks.base import SHIP, over, rnd
 from dockline.functions.columns import levels_outside
 from dockline.operators import ingest, quality
+from dockline.plans.ranking import use_checkpoint_dir
+from dockline.sources import files
 from dockline.sources import tables as t
 
 QUERIES = {}
@@ -406,26 +408,78 @@ add(
 add("remediation_plan_texts", _ship(quality.preprocessing_recommendations))
 
 
-def _audit_sizes(spark, folder):
-    audit = quality.assess_dataset(quality.Dataset(t.stored_shipments(spark, folder), ["shipment_id"]))
-    parts = {
-        "missing": audit.missing,
-        "duplicates": audit.duplicates.summary,
-        "validity": audit.validity,
-        "outliers": audit.outliers,
-        "summary": audit.summary,
-        "consistency": audit.consistency,
-        "recommendations": audit.recommendations,
-        "score": audit.score,
-    }
+# report: (item, numeric measures, text measures)
+AUDIT = {
+    "missing": ('"column"', ["missing_count", "missing_pct", "non_null_count"], ["severity"]),
+    "duplicates": ("'table'", ["total_rows", "exact_duplicate_rows", "duplicate_pct", "key_duplicate_rows", "key_duplicate_pct"], ["key_columns"]),
+    "validity": ('"column"', ["checked", "violations", "violation_pct"], ["rule", "sample_bad_values"]),
+    "outliers": ('"column"', ["lower_bound", "upper_bound", "outlier_count", "outlier_pct", "min", "max"], ["method"]),
+    "summary": (
+        '"column"',
+        ["count", "unique", "mean", "q25", "median", "q75", "skew", "kurtosis", "std", "min", "max", "zeros", "negatives", "freq", "top_pct"],
+        ["col_type", "top", "first_date", "last_date"],
+    ),
+    "consistency": ("check_name", ["checked", "violations", "violation_pct"], ["description", "passed"]),
+    "recommendations": ("concat(issue, ': ', \"column\")", [], ["severity"]),
+    "score": ("'table'", ["rows", "columns", "completeness", "uniqueness", "validity", "consistency", "accuracy", "overall_score"], ["grade"]),
+}
+
+
+def audit_reports(audit: quality.Audit) -> dict:
+    return {name: audit.duplicates.summary if name == "duplicates" else getattr(audit, name) for name in AUDIT}
+
+
+def _melted(reports):
+    """All reports as rows (report, item, measure, value, text)."""
     out = None
-    for name, frame in parts.items():
-        row = frame.agg(F.count("*").alias("rows")).select(F.lit(name).alias("report"), "rows")
-        out = row if out is None else out.unionByName(row)
+    for name, (item, numbers, texts) in AUDIT.items():
+        cells = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"), F.lit(None).cast("string").alias("text")) for m in numbers]
+        cells += [F.struct(F.lit(m).alias("measure"), F.lit(None).cast("double").alias("value"), F.col(m).cast("string").alias("text")) for m in texts]
+        rows = reports[name].select(F.lit(name).alias("report"), F.expr(item.replace('"', "`")).alias("item"), F.inline(F.array(*cells)))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
-add("full_audit", _audit_sizes)
+def _audit(spark, folder):
+    return audit_reports(quality.assess_dataset(quality.Dataset(t.stored_shipments(spark, folder), ["shipment_id"])))
+
+
+def audit_sql() -> str:
+    plan = f"""SELECT 'Missing values' AS issue, "column", CASE WHEN missing_pct > 20 THEN 'High' WHEN missing_pct >= 5 THEN 'Medium'
+        ELSE 'Low' END AS severity FROM missing WHERE missing_count > 0
+      UNION ALL SELECT 'Invalid values', "column", CASE WHEN violation_pct > 1 THEN 'High' ELSE 'Medium' END FROM validity WHERE violations > 0
+      UNION ALL SELECT 'Cross-field inconsistency', check_name, 'High' FROM consistency WHERE NOT passed
+      UNION ALL SELECT 'Statistical outliers', o."column", CASE WHEN abs(skew) > 1 THEN 'Low' WHEN outlier_pct > 5 THEN 'Medium' ELSE 'Low' END
+        FROM outliers o JOIN ({_skews}) k ON o."column" = k."column" WHERE outlier_count > 0
+      UNION ALL SELECT 'Duplicate rows', '<all columns>', 'High' FROM duplicates WHERE exact_duplicate_rows > 0
+      UNION ALL SELECT 'Zero-variance column', "column", 'Low' FROM ({_flat}) WHERE levels <= 1"""
+    views = {
+        "missing": f"SELECT *, {SEVERITY} FROM ({MISSING})", "duplicates": copies_sql("ship", ALL, "shipment_id"),
+        "validity": validity_sql(DEFAULT_TEXT), "outliers": outlier_sql("ship", NUMBERS), "summary": profile_sql(),
+        "consistency": consistency_sql(), "recommendations": plan, "score": SHIP_SCORE,
+    }
+    parts = []
+    for name, (item, numbers, texts) in AUDIT.items():
+        names = ", ".join(f"'{m}'" for m in numbers + texts)
+        values = ", ".join([f'CAST("{m}" AS DOUBLE)' for m in numbers] + ["NULL"] * len(texts))
+        words = ", ".join(["NULL"] * len(numbers) + [f'CAST("{m}" AS VARCHAR)' for m in texts])
+        parts.append(f"""SELECT '{name}' AS report, {item} AS item, unnest([{names}]) AS measure,
+          unnest([{values}]::DOUBLE[]) AS value, unnest([{words}]::VARCHAR[]) AS text FROM {name}""")
+    return SHIP + "".join(f", {name} AS ({sql})" for name, sql in views.items()) + " " + " UNION ALL ".join(parts)
+
+
+add("full_audit", lambda spark, folder: _melted(_audit(spark, folder)), audit_sql())
+
+
+def _audit_export(spark, folder):
+    """All reports of the audit, committed as one version and read back."""
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/audit-export"
+    files.commit_reports(_audit(spark, folder), path)
+    return _melted(files.read_reports(spark, path))
+
+
+add("audit_export", _audit_export, audit_sql())
 add(
     "level_difference",
     lambda spark, folder: levels_outside(t.table(spark, folder, "part"), "p_type", ("SMALL", "LARGE"), "p_type"),

@@ -1,9 +1,11 @@
 """Data-quality audit: completeness, uniqueness, validity, outliers, profile,
 consistency, a weighted score and a remediation plan.
 
-Reports are small frames (a row per column, rule or check). Reports that need
-the numeric profile share one stored copy of it, and the score and the plan read
-the other reports, so a full audit does not scan the table once per report.
+Reports are small frames (a row per column, rule or check). What they count is declared
+as named aggregates of one row: a report asked for alone computes its own, a full audit
+computes those of all reports in one scan and hands the row to each. Moments, quartiles,
+fences and levels are reduced by task from column batches; no cell is exploded. The
+score and the plan read the other reports.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ from dockline.functions.columns import (
 )
 from dockline.functions.parsing import NUMBER_SHAPE
 from dockline.operators.ingest import with_flat_containers
-from dockline.plans.quantiles import BROADCAST_CELLS, grouped_quantiles
+from dockline.plans.levels import level_counts
+from dockline.plans.moments import column_moments, exact_quantiles, merged_moments, outside_counts
+from dockline.plans.quantiles import BROADCAST_CELLS
 from dockline.plans.ranking import settled
 
 QUALITY = DEFAULTS.quality
@@ -115,6 +119,11 @@ def _cell(df: DataFrame, name: str) -> Column:
     return nan_to_null(column) if isinstance(_kinds(df)[name], (T.DoubleType, T.FloatType)) else column
 
 
+def _facts(df: DataFrame, facts: DataFrame | None, own: dict[str, Column]) -> DataFrame:
+    """One row with the aggregates `own`, computed here unless `facts` has them already."""
+    return df.agg(*[value.alias(name) for name, value in own.items()]) if facts is None else facts
+
+
 def _total_order(df: DataFrame) -> list[Column]:
     """All columns that can be ordered, so that ties leave only equal rows."""
     return [F.col(f"`{name}`") for name, kind in _kinds(df).items() if not isinstance(kind, T.MapType)]
@@ -189,7 +198,14 @@ def breach(df: DataFrame, check: Check) -> Column:
 
 
 # --- completeness ----------------------------------------------------------------
-def missing_value_report(df: DataFrame, settings: QualitySettings = QUALITY) -> DataFrame:
+def _presence_facts(df: DataFrame) -> dict[str, Column]:
+    counts = {f"c{i}": F.count(_cell(df, name)) for i, name in enumerate(df.columns)}
+    return {"rows": F.count("*"), **counts}
+
+
+def missing_value_report(
+    df: DataFrame, settings: QualitySettings = QUALITY, facts: DataFrame | None = None
+) -> DataFrame:
     """Nulls per column with a severity, worst first."""
     kinds = _kinds(df)
     if not kinds:
@@ -198,12 +214,8 @@ def missing_value_report(df: DataFrame, settings: QualitySettings = QUALITY) ->
             "column string, dtype string, missing_count long, missing_pct double, "
             "non_null_count long, severity string",
         )
-    wide = df.agg(
-        F.count("*").alias("rows"),
-        *[F.count(_cell(df, name)).alias(f"c{i}") for i, name in enumerate(kinds)],
-    )
     report = inline_rows(
-        wide,
+        _facts(df, facts, _presence_facts(df)),
         [
             {
                 "column": F.lit(name),
@@ -255,17 +267,21 @@ def _repeated_rows(df: DataFrame) -> DataFrame:
 
 
 def duplicate_report(
-    df: DataFrame, subset: list[str] | None = None, settings: QualitySettings = QUALITY
+    df: DataFrame,
+    subset: list[str] | None = None,
+    settings: QualitySettings = QUALITY,
+    key_groups: DataFrame | None = None,
 ) -> Duplicates:
     """Redundant copies of whole rows and of a business key, with a few example rows.
 
     A copy is a row beyond the first of its kind. Key columns that are absent
-    are ignored; without any key the key columns of the summary are null.
+    are ignored; without any key the key columns of the summary are null. A caller
+    that has counted the distinct keys gives them as ``key_groups`` (one row, ``n``).
     """
     df = with_flat_containers(df)
     repeated = settled(_repeated_rows(df))
     parts = [
-        df.agg(F.count("*").alias("total_rows")),
+        df.agg(F.count("*").alias("total_rows")),  # of a stored table, its footers
         repeated.agg(
             F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long").alias("exact_duplicate_rows")
         ),
@@ -275,17 +291,17 @@ def duplicate_report(
     if key:
         quoted = [F.col(f"`{c}`") for c in key]
         keys = df.groupBy(*quoted).agg(F.count("*").alias("_n"))
-        parts.append(
-            keys.agg((F.sum("_n") - F.count("*")).cast("long").alias("key_duplicate_rows"))
-        )
+        groups = keys.agg(F.count("*").alias("n")) if key_groups is None else key_groups
+        parts.append(groups.select(F.col("n").alias("_key_groups")))
         first_keys = keys.filter("_n > 1").orderBy(*quoted).limit(settings.sample_rows).drop("_n")
         key_examples = match_rows(df, F.broadcast(first_keys), key, "left_semi")  # sample_rows rows
         key_examples = key_examples.orderBy(*quoted, *_total_order(df)).limit(settings.sample_rows)
     else:
         key_examples = df.limit(0)
     summary = merge_single_rows(*parts)
-    if not key:
-        summary = summary.withColumn("key_duplicate_rows", F.lit(None).cast("long"))
+    spare = (F.col("total_rows") - F.col("_key_groups")) if key else F.lit(None)
+    # an empty table has no key groups and no figure for them
+    summary = summary.withColumn("key_duplicate_rows", F.when(F.col("total_rows") > 0, spare.cast("long")))
     total = F.col("total_rows")
     summary = summary.select(
         "total_rows",
@@ -306,25 +322,36 @@ VALIDITY_SCHEMA = (
 )
 
 
+def _present_rules(df: DataFrame, rules: dict[str, Rule] | None) -> dict[str, Rule]:
+    rules = default_rules(df) if rules is None else rules
+    return {name: rule for name, rule in rules.items() if name in df.columns}
+
+
+def _rule_facts(df: DataFrame, rules: dict[str, Rule]) -> dict[str, Column]:
+    facts = {f"n{i}": F.count(_cell(df, name)) for i, name in enumerate(rules)}
+    return facts | {f"v{i}": tally(violation(df, name, rule)) for i, (name, rule) in enumerate(rules.items())}
+
+
 def validity_report(
-    df: DataFrame, rules: dict[str, Rule] | None = None, settings: QualitySettings = QUALITY
+    df: DataFrame,
+    rules: dict[str, Rule] | None = None,
+    settings: QualitySettings = QUALITY,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Every rule with its checked values, violations and a few offending values.
 
     Passing rules are listed too. The sample holds the smallest distinct
-    offending values as text; each task keeps a handful before the shuffle.
+    offending values as text; each task keeps a handful before the shuffle. The table
+    is read for samples only if a rule is broken.
     """
-    rules = default_rules(df) if rules is None else rules
-    rules = {name: rule for name, rule in rules.items() if name in df.columns}
+    rules = _present_rules(df, rules)
     if not rules:
         return _empty(df, VALIDITY_SCHEMA)
-    tests = {name: violation(df, name, rule) for name, rule in rules.items()}
-    wide = df.agg(
-        *[F.count(_cell(df, name)).alias(f"n{i}") for i, name in enumerate(rules)],
-        *[tally(test).alias(f"v{i}") for i, test in enumerate(tests.values())],
-    )
+    facts = settled(_facts(df, None, _rule_facts(df, rules))) if facts is None else facts
+    broken = facts.select(*[f"v{i}" for i in range(len(rules))]).first()
+    tests = {name: violation(df, name, rule) for i, (name, rule) in enumerate(rules.items()) if broken[i]}
     report = inline_rows(
-        wide,
+        facts,
         [
             {
                 "column": F.lit(name),
@@ -336,6 +363,10 @@ def validity_report(
             for i, (name, rule) in enumerate(rules.items())
         ],
     )
+    if not tests:
+        return report.withColumn("sample_bad_values", F.lit("")).orderBy(
+            F.col("violations").desc(), F.col("violation_pct").desc(), "column"
+        )
     offending = F.array(
         *[
             F.when(
@@ -363,56 +394,50 @@ def validity_report(
 
 
 # --- numeric profile and outliers --------------------------------------------------
-def _number_cells(df: DataFrame, columns: list[str]) -> DataFrame:
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), _cell(df, c).cast("double").alias("v"))
-            for c in columns
-        ]
-    )
-    return df.select(F.explode(cells).alias("c")).select("c.*").filter("v is not null")
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    return _cell(df, name).cast("double")
 
 
 def numeric_profile(df: DataFrame) -> DataFrame | None:
-    """Moments and quartiles of every numeric column (a row each), stored once.
+    """Moments and quartiles of every numeric column with a value (a row each), stored once.
 
-    Skew and kurtosis carry the sample correction.
+    Skew and kurtosis carry the sample correction. Two scans, the second for the values
+    around the quartiles.
     """
     columns = numeric_columns(df)
     if not columns:
         return None
-    cells = _number_cells(df, columns)
-    moments = cells.groupBy("column").agg(
-        F.count("*").alias("n"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("sd"),
-        F.stddev_pop("v").alias("sd_pop"),
-        F.min("v").alias("low"),
-        F.max("v").alias("high"),
-        F.skewness("v").alias("skew_pop"),
-        F.kurtosis("v").alias("kurt_pop"),
-        tally(F.col("v") == 0).alias("zeros"),
-        tally(F.col("v") < 0).alias("negatives"),
-    )
-    moments = settled(moments)
-    largest = moments.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    quartiles = grouped_quantiles(
-        cells,
-        ["column"],
-        {"q25": ("v", 0.25), "median": ("v", 0.5), "q75": ("v", 0.75)},
-        largest=largest,
-    )
+    values = [_number(df, name) for name in columns]
+    parts = settled(column_moments(df, values))
+    moments = settled(merged_moments(parts))
+    rows = {row["place"]: row["n"] for row in moments.collect()}  # one row per column
+    quartiles = exact_quantiles(df, values, rows, parts, QUARTILES)
+    listed = [(place, columns[place], *map(float, q)) for place, q in quartiles.items()]
+    named = df.sparkSession.createDataFrame(listed, "place int, column string, q25 double, median double, q75 double")
     n = F.col("n").cast("double")
     flat = F.col("low") == F.col("high")
-    skew = F.col("skew_pop") * F.sqrt(n * (n - 1)) / (n - 2)
-    kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("kurt_pop") + 6)
-    profile = moments.join(quartiles, "column").withColumns(
-        {
-            "skew": F.when(F.col("n") > 2, F.when(flat, F.lit(0.0)).otherwise(skew)),
-            "kurtosis": F.when(F.col("n") > 3, F.when(flat, F.lit(0.0)).otherwise(kurt)),
-        }
-    )
-    return settled(profile.drop("skew_pop", "kurt_pop"))
+    skew = F.sqrt(n) * F.col("m3") / F.pow("m2", F.lit(1.5)) * F.sqrt(n * (n - 1)) / (n - 2)
+    kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (n * F.col("m4") / (F.col("m2") * F.col("m2")) - 3) + 6)
+    profile = moments.join(F.broadcast(named), "place").select(  # one row per column
+        "column",
+        "n",
+        "mean",
+        F.when(n > 1, F.sqrt(F.col("m2") / (n - 1))).alias("sd"),
+        F.sqrt(F.col("m2") / n).alias("sd_pop"),
+        "low",
+        "high",
+        "zeros",
+        "negatives",
+        "q25",
+        "median",
+        "q75",
+        F.when(n > 2, F.when(flat, F.lit(0.0)).otherwise(skew)).alias("skew"),
+        F.when(n > 3, F.when(flat, F.lit(0.0)).otherwise(kurt)).alias("kurtosis"),
+    )
+    return settled(profile)
 
 
 OUTLIER_SCHEMA = (
@@ -447,33 +472,55 @@ def outlier_report(
         lower = F.col("mean") - settings.zscore_threshold * spread
         upper = F.col("mean") + settings.zscore_threshold * spread
     bounds = profile.filter(spread > 0).select(
-        "column", lower.alias("lower"), upper.alias("upper"), "low", "high"
+        "column", "n", lower.alias("lower"), upper.alias("upper"), "low", "high"
+    ).collect()  # one row per column of the table
+    if not bounds:
+        return _empty(df, OUTLIER_SCHEMA)
+    ends = [tuple(float(row[k]) for k in ("lower", "upper", "low", "high")) for row in bounds]
+    counts = outside_counts(df, [_number(df, row["column"]) for row in bounds], ends)
+    held = df.sparkSession.createDataFrame(
+        [(place, row["column"], row["n"], *end) for place, (row, end) in enumerate(zip(bounds, ends, strict=True))],
+        "place int, column string, n long, lower double, upper double, low double, high double",
     )
-    value = F.col("v")
-    counted = (
-        _number_cells(df, columns)
-        .join(F.broadcast(bounds), "column")  # one row per column of the table
-        .groupBy("column", "lower", "upper", "low", "high")
-        .agg(
-            F.count("*").alias("n"),
-            tally((value < F.col("lower")) | (value > F.col("upper"))).alias("outlier_count"),
-            tally((value != F.col("low")) & (value != F.col("high"))).alias("_third"),
+    return (
+        counts.join(F.broadcast(held), "place")  # one row per column
+        .filter("third > 0")
+        .select(
+            "column",
+            F.lit(chosen).alias("method"),
+            rounded(F.col("lower"), 4).alias("lower_bound"),
+            rounded(F.col("upper"), 4).alias("upper_bound"),
+            F.col("outside").alias("outlier_count"),
+            percent(F.col("outside"), F.col("n")).alias("outlier_pct"),
+            rounded(F.col("low"), 4).alias("min"),
+            rounded(F.col("high"), 4).alias("max"),
         )
-        .filter("_third > 0")
+        .orderBy(F.col("outlier_pct").desc(), "column")
     )
-    return counted.select(
-        "column",
-        F.lit(chosen).alias("method"),
-        rounded(F.col("lower"), 4).alias("lower_bound"),
-        rounded(F.col("upper"), 4).alias("upper_bound"),
-        "outlier_count",
-        percent(F.col("outlier_count"), F.col("n")).alias("outlier_pct"),
-        rounded(F.col("low"), 4).alias("min"),
-        rounded(F.col("high"), 4).alias("max"),
-    ).orderBy(F.col("outlier_pct").desc(), "column")
 
 
 # --- profile -----------------------------------------------------------------------
+FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
+
+
+def _level_cell(df: DataFrame, name: str, as_text: bool) -> Column:
+    """The column as its levels are counted: whole numbers as they are, the rest as text.
+
+    Fractional numbers whose text is not wanted are counted without making any.
+    """
+    kind = _kinds(df)[name]
+    if isinstance(kind, NUMERIC) and not (isinstance(kind, FRACTIONAL) and as_text) and not isinstance(kind, T.DecimalType):
+        return _cell(df, name)
+    return _cell(df, name).cast("string")
+
+
+def _levels(counts: DataFrame, names: list[str]) -> DataFrame:
+    best = F.min(F.struct((-F.col("n")).alias("less"), F.col("value").alias("value")))
+    return counts.groupBy("place").agg(F.count("*").alias("unique"), best.alias("best")).select(
+        F.element_at(F.array(*[F.lit(n) for n in names]), F.col("place") + 1).alias("column"),
+        "unique", F.col("best.value").alias("top"), (-F.col("best.less")).alias("freq"))
+
+
 def most_frequent(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Distinct count, most frequent value and its count per column, as text.
 
@@ -481,26 +528,36 @@ def most_frequent(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     minimum, so no task holds a column's levels.
     """
     columns = df.columns if columns is None else columns
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), _cell(df, c).cast("string").alias("value"))
-            for c in columns
-        ]
-    )
-    levels = (
-        df.select(F.explode(cells).alias("c"))
-        .select("c.*")
-        .filter("value is not null")
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    best = F.min(F.struct((-F.col("n")).alias("less"), F.col("value").alias("value")))
-    return levels.groupBy("column").agg(
-        F.count("*").alias("unique"), best["value"].alias("top"), (-best["less"]).alias("freq")
-    )
+    return _levels(level_counts(df, {name: _level_cell(df, name, True) for name in columns}), columns)
 
 
-def summary_statistics(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+KEY = "<key>"
+
+
+def table_levels(df: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Levels of every column; `top` of fractional numbers is not meant to be read.
+
+    With a key, a row named ``<key>`` counts its distinct values, nulls included.
+    """
+    cells = {name: _level_cell(df, name, False) for name in df.columns}
+    quoted = [F.col(f"`{c}`") for c in (key or []) if c in df.columns]
+    if quoted:
+        cells[KEY] = F.to_json(F.struct(*quoted), {"ignoreNullFields": "false"})
+    return settled(_levels(level_counts(df, cells), list(cells)))
+
+
+def _range_facts(df: DataFrame) -> dict[str, Column]:
+    dated = [(i, n) for i, (n, k) in enumerate(_kinds(df).items()) if isinstance(k, DATED)]
+    first = {f"first{i}": F.min(f"`{n}`").cast("string") for i, n in dated}
+    return first | {f"last{i}": F.max(f"`{n}`").cast("string") for i, n in dated}
+
+
+def summary_statistics(
+    df: DataFrame,
+    profile: DataFrame | None = None,
+    facts: DataFrame | None = None,
+    levels: DataFrame | None = None,
+) -> DataFrame:
     """Profile of every column: moments for numbers, levels for the rest, range for dates."""
     df = with_flat_containers(df)
     kinds = _kinds(df)
@@ -514,11 +571,7 @@ def summary_statistics(df: DataFrame, profile: DataFrame | None = None) -> DataF
             "negatives long, q25 double, median double, q75 double, skew double, kurtosis double",
         )
     dated = [n for n, k in kinds.items() if isinstance(k, DATED)]
-    wide = df.agg(
-        *[F.count(_cell(df, n)).alias(f"c{i}") for i, n in enumerate(kinds)],
-        *[F.min(f"`{n}`").cast("string").alias(f"a{i}") for i, n in enumerate(kinds) if n in dated],
-        *[F.max(f"`{n}`").cast("string").alias(f"z{i}") for i, n in enumerate(kinds) if n in dated],
-    )
+    wide = _facts(df, facts, _presence_facts(df) | _range_facts(df))
     none = F.lit(None).cast("string")
     base = inline_rows(
         wide,
@@ -529,13 +582,13 @@ def summary_statistics(df: DataFrame, profile: DataFrame | None = None) -> DataF
                     "numeric" if n in numeric else "datetime" if n in dated else "categorical"
                 ),
                 "count": F.col(f"c{i}"),
-                "first_date": F.col(f"a{i}") if n in dated else none,
-                "last_date": F.col(f"z{i}") if n in dated else none,
+                "first_date": F.col(f"first{i}") if n in dated else none,
+                "last_date": F.col(f"last{i}") if n in dated else none,
             }
             for i, n in enumerate(kinds)
         ],
     )
-    levels = most_frequent(df)
+    levels = table_levels(df) if levels is None else levels
     joined = base.join(profile, "column", "left").join(levels, "column", "left")
     is_number = F.col("col_type") == "numeric"
     known = ("mean", "q25", "median", "q75", "skew", "kurtosis")
@@ -564,26 +617,28 @@ CONSISTENCY_SCHEMA = (
 )
 
 
-def consistency_report(df: DataFrame, checks: tuple[Check, ...] = CHECKS) -> DataFrame:
+def _check_facts(df: DataFrame, kept: list[Check]) -> dict[str, Column]:
+    both = {f"both{i}": tally(_cell(df, c.left).isNotNull() & _cell(df, c.right).isNotNull()) for i, c in enumerate(kept)}
+    return both | {f"breach{i}": tally(breach(df, c)) for i, c in enumerate(kept)}
+
+
+def consistency_report(
+    df: DataFrame, checks: tuple[Check, ...] = CHECKS, facts: DataFrame | None = None
+) -> DataFrame:
     """Cross-field invariants over rows where both sides are present."""
     kept = applicable_checks(df, checks)
     if not kept:
         return _empty(df, CONSISTENCY_SCHEMA)
-    both = [_cell(df, c.left).isNotNull() & _cell(df, c.right).isNotNull() for c in kept]
-    wide = df.agg(
-        *[tally(test).alias(f"n{i}") for i, test in enumerate(both)],
-        *[tally(breach(df, c)).alias(f"v{i}") for i, c in enumerate(kept)],
-    )
     report = inline_rows(
-        wide,
+        _facts(df, facts, _check_facts(df, kept)),
         [
             {
                 "check_name": F.lit(f"{c.left} {c.operator} {c.right}"),
                 "description": F.lit(c.description),
-                "checked": F.col(f"n{i}"),
-                "violations": F.col(f"v{i}"),
-                "violation_pct": percent(F.col(f"v{i}"), F.col(f"n{i}")),
-                "passed": F.col(f"v{i}") == 0,
+                "checked": F.col(f"both{i}"),
+                "violations": F.col(f"breach{i}"),
+                "violation_pct": percent(F.col(f"breach{i}"), F.col(f"both{i}")),
+                "passed": F.col(f"breach{i}") == 0,
             }
             for i, c in enumerate(kept)
         ],
@@ -600,6 +655,14 @@ def grade_of(score: Column, settings: QualitySettings = QUALITY) -> Column:
     return grade.otherwise("F")
 
 
+def _record_facts(df: DataFrame, rules: dict[str, Rule]) -> dict[str, Column]:
+    """Cells that are filled, records that break a rule, records that break a check."""
+    broken = any_of([violation(df, n, r) for n, r in rules.items() if n in df.columns])
+    torn = any_of([breach(df, c) for c in applicable_checks(df)])
+    filled = reduce(lambda a, b: a + b, [F.count(_cell(df, n)) for n in df.columns], F.lit(0).cast("long"))
+    return {"filled": filled, "broken": tally(broken), "torn": tally(torn)}
+
+
 def data_quality_score(
     df: DataFrame,
     subset: list[str] | None = None,
@@ -607,6 +670,7 @@ def data_quality_score(
     settings: QualitySettings = QUALITY,
     duplicates: DataFrame | None = None,
     outliers: DataFrame | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Five dimensions, weighted score, grade and verdict in one row.
 
@@ -615,23 +679,14 @@ def data_quality_score(
     """
     flat = with_flat_containers(df)
     rules = default_rules(df) if rules is None else rules
-    broken = any_of([violation(df, n, r) for n, r in rules.items() if n in df.columns])
-    torn = any_of([breach(df, c) for c in applicable_checks(df)])
-    filled = reduce(
-        lambda a, b: a + b, [F.count(_cell(flat, n)) for n in flat.columns], F.lit(0).cast("long")
-    )
     width = len(df.columns)
-    facts = flat.agg(
-        F.count("*").alias("rows"),
-        filled.alias("filled"),
-        tally(broken).alias("broken"),
-        tally(torn).alias("torn"),
-    )
+    facts = _facts(flat, facts, {"rows": F.count("*")} | _record_facts(flat, rules))
     copies = duplicate_report(df, subset, settings).summary if duplicates is None else duplicates
+    outliers = outlier_report(flat, None, settings) if outliers is None else outliers
     outliers = outlier_report(df, None, settings) if outliers is None else outliers
     capped = F.least(F.col("outlier_pct") / 100.0, F.lit(settings.accuracy_outlier_cap))
     row = merge_single_rows(
-        facts,
+        facts.select("rows", "filled", "broken", "torn"),
         copies.select(
             (F.greatest("duplicate_pct", F.coalesce("key_duplicate_pct", F.lit(0.0))) / 100.0).alias("copied")
         ),
@@ -689,7 +744,7 @@ def preprocessing_recommendations(
     """Named treatments with severity and reason, read off the reports.
 
     ``reports`` may hold any of ``profile``, ``missing``, ``duplicates`` (the
-    summary), ``validity``, ``consistency`` and ``outliers`` already computed.
+    summary), ``validity``, ``consistency``, ``outliers``, and ``facts`` with ``levels``, already computed.
     Key duplicates are not part of the plan; whole-row copies are.
     """
     df = with_flat_containers(df)
@@ -792,18 +847,14 @@ def preprocessing_recommendations(
         .otherwise(text(F.format_string("%.2f%%", "outlier_pct"), " of values lie outside the fences.")),
     )
 
-    quoted = {n: _cell(df, n) for n in df.columns}
-    flat_tests = df.agg(
-        F.count("*").alias("rows"),
-        *[F.min(c).eqNullSafe(F.max(c)).alias(f"f{i}") for i, c in enumerate(quoted.values())],
-    )
-    flat = inline_rows(
-        flat_tests,
-        [
-            {"column": F.lit(n), "flat": F.col(f"f{i}") & (F.col("rows") > 0)}
-            for i, n in enumerate(quoted)
-        ],
-    ).filter("flat")
+    if "levels" in reports:  # a column of nulls has no level
+        facts = reports["facts"].select(F.explode(F.array(*[F.lit(n) for n in df.columns])).alias("column"), "rows")
+        flat = facts.join(reports["levels"], "column", "left").filter("rows > 0 AND coalesce(unique, 0) <= 1")
+    else:
+        cells = [_cell(df, n) for n in df.columns]
+        flat_tests = df.agg(F.count("*").alias("rows"), *[F.min(c).eqNullSafe(F.max(c)).alias(f"flat{i}") for i, c in enumerate(cells)])
+        tests = [{"column": F.lit(n), "flat": F.col(f"flat{i}") & (F.col("rows") > 0)} for i, n in enumerate(df.columns)]
+        flat = inline_rows(flat_tests, tests).filter("flat")
     flat_plan = plan(
         "Zero-variance column",
         flat,
@@ -839,16 +890,27 @@ class Dataset(NamedTuple):
 def assess_dataset(dataset: Dataset, settings: QualitySettings = QUALITY) -> Audit:
     """Every report on one table.
 
-    Each report is computed once and stored; the plan and the score read those.
+    Six scans: the counts of all reports, the moments, the values around the quartiles,
+    the fences, the levels with the key, and the row hashes; one more for samples if a rule
+    is broken, one for examples if a row hash repeats. Stored are one row of figures, the
+    moments by task and small reports.
     """
     df = with_flat_containers(dataset.frame)
+    rules, checks = _present_rules(df, None), applicable_checks(df)
+    facts = settled(_facts(df, None, {
+        **_presence_facts(df), **_rule_facts(df, rules), **_check_facts(df, checks),
+        **_range_facts(df), **_record_facts(df, rules),
+    }))
     profile = numeric_profile(df)
-    duplicates = duplicate_report(df, dataset.key, settings)
+    levels = table_levels(df, dataset.key)
+    keyed = [c for c in (dataset.key or []) if c in df.columns]
+    key_groups = levels.filter(F.col("column") == KEY).select(F.col("unique").alias("n")) if keyed else None
+    duplicates = duplicate_report(df, dataset.key, settings, key_groups)
     reports = {
-        "missing": settled(missing_value_report(df, settings)),
+        "missing": missing_value_report(df, settings, facts),
         "duplicates": settled(duplicates.summary),
-        "validity": settled(validity_report(df, None, settings)),
-        "consistency": settled(consistency_report(df)),
+        "validity": settled(validity_report(df, rules, settings, facts)),
+        "consistency": consistency_report(df, facts=facts),
         "outliers": settled(outlier_report(df, None, settings, profile)),
     }
     return Audit(
@@ -856,13 +918,13 @@ def assess_dataset(dataset: Dataset, settings: QualitySettings = QUALITY) -> Aud
         duplicates=duplicates._replace(summary=reports["duplicates"]),
         validity=reports["validity"],
         outliers=reports["outliers"],
-        summary=summary_statistics(df, profile),
+        summary=summary_statistics(df, profile, facts, levels),
         consistency=reports["consistency"],
         recommendations=preprocessing_recommendations(
-            df, None, settings, {**reports, "profile": profile}
+            df, rules, settings, {**reports, "profile": profile, "facts": facts, "levels": levels}
         ),
         score=data_quality_score(
-            df, dataset.key, None, settings, reports["duplicates"], reports["outliers"]
+            df, dataset.key, rules, settings, reports["duplicates"], reports["outliers"], facts
         ),
     )
 

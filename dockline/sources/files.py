@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,6 +140,48 @@ def write_reports(reports: dict[str, DataFrame], path: str, kind: str = "parquet
     return written
 
 
+def _manifests(spark: SparkSession, path: str) -> DataFrame | None:
+    """(version, name, kind, columns) of every committed set of reports, null before the first."""
+    try:
+        return spark.read.schema("version long, name string, kind string, columns string").json(f"{path}/manifest/*")
+    except AnalysisException:
+        return None
+
+
+def commit_reports(reports: dict[str, DataFrame], path: str, kind: str = "parquet") -> int:
+    """Store a set of named reports as one new version; returns its number.
+
+    The reports are written first, each to a folder of its own; a manifest that lists
+    them is written last, by one task, so it appears whole or not at all. A reader
+    sees all reports of a version or those of the version before. What a torn
+    write has left is overwritten by the next.
+    """
+    spark = next(iter(reports.values())).sparkSession
+    known = _manifests(spark, path)
+    version = 1 + ((known.agg(F.max("version")).first()[0] or 0) if known is not None else 0)
+    for name, report in reports.items():
+        report.write.mode("overwrite").option("header", True).format(kind).save(f"{path}/reports/{version}/{name}")
+    listed = [(version, name, kind, report.schema.json()) for name, report in reports.items()]
+    manifest = spark.createDataFrame(listed, "version long, name string, kind string, columns string")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest/{version}")
+    return version
+
+
+def read_reports(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The reports of a committed version, the latest unless one is named; raises ``LookupError`` if there is none."""
+    known = _manifests(spark, path)
+    rows = known.collect() if known is not None else []  # a few rows a version
+    wanted = max((r["version"] for r in rows), default=None) if version is None else version
+    found = {r["name"]: r for r in rows if r["version"] == wanted}
+    if not found:
+        raise LookupError(f"{path} holds no committed reports{'' if version is None else f' of version {version}'}")
+    return {
+        name: spark.read.schema(T.StructType.fromJson(json.loads(r["columns"]))).option("header", True)
+        .format(r["kind"]).load(f"{path}/reports/{wanted}/{name}")
+        for name, r in found.items()
+    }
+
+
 def write_interpreted(shipments: DataFrame, path: str, max_rows: int = 5_000_000) -> None:
     """Store the interpreted table once, laid out by delivery year.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dockline.config import DEFAULTS
 from dockline.operators import filters, funnels, products, quality, service
+from dockline.sources import files
 
 
 def test_funnels_nest_and_reconcile(ship):
@@ -179,3 +180,24 @@ def test_medicine_columns_have_named_rules(spark):
     rules = default_rules(df)
     assert {n: (r.low, r.high) for n, r in rules.items()} == {
         "price_inr": (0, 500_000), "price(₹)": (0, 500_000), "ingredient_count": (0, 10), "pack_quantity": (0, None)}
+
+
+def test_reports_are_committed_together(spark, tmp_path):
+    path = str(tmp_path / "export")
+    one = spark.createDataFrame([("a", 1, None)], "k string, n long, t string")
+    two = spark.createDataFrame([(2.5,)], "v double")
+    with pytest.raises(LookupError):
+        files.read_reports(spark, path)
+    assert files.commit_reports({"one": one, "two": two, "none": one.limit(0)}, path) == 1
+
+    torn = one.select(F.raise_error(F.lit("lost")).alias("k"))
+    with pytest.raises(Exception, match="lost"):
+        files.commit_reports({"one": one.limit(0), "two": torn}, path)
+    found = files.read_reports(spark, path)  # the torn version is not seen
+    assert {name: report.collect() for name, report in found.items()} == {"one": one.collect(), "two": two.collect(), "none": []}
+    assert found["none"].schema == one.schema
+
+    assert files.commit_reports({"two": two.union(two)}, path, "csv") == 2
+    assert files.read_reports(spark, path)["two"].count() == 2 and files.read_reports(spark, path, 1)["one"].count() == 1
+    with pytest.raises(LookupError, match="version 7"):
+        files.read_reports(spark, path, 7)
