@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dockline.config import DEFAULTS, Settings
 from dockline.functions.columns import inline_rows, percent, rounded, tally
 from dockline.operators.comparison import crosstab
-from dockline.plans.cuts import Term, keys_at_ranks, precedes
+from dockline.plans.cuts import Term, keys_at_score_ranks, precedes
 from dockline.plans.ranking import running, small_or_stored
 
 
@@ -167,7 +167,7 @@ def with_deciles(df: DataFrame, score: str, ties: list[str], name: str = "decile
     order, total = _score_order(score, ties), df.count()
     # (rank - 1) * parts / (rows - 1) <= band up to this rank
     last = {band * (total - 1) // parts + 1 for band in range(1, parts)} if total else set()
-    keys = keys_at_ranks(df, order, sorted(last), rows=total)
+    keys = keys_at_score_ranks(df, score, ties, sorted(last), total)
     dtypes = [df.schema[term.column].dataType for term in order]
     band = F.lit(1)
     for number in range(1, parts):
@@ -191,7 +191,7 @@ def gains_curve(
     dtypes = [rows.schema[term.column].dataType for term in order]
     total = rows.count()
     cuts = [max(round(total * share), 1) for share in shares]
-    keys = keys_at_ranks(rows, order, sorted(set(cuts)), rows=total)
+    keys = keys_at_score_ranks(rows, score, ties, sorted(set(cuts)), total)
     counts = [
         F.sum(F.when(precedes(order, keys[cut], dtypes, or_equal=True), F.col("_hit"))) if cut in keys else F.lit(None).cast("long")
         for cut in cuts

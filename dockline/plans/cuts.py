@@ -19,6 +19,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from dockline.plans.moments import column_moments, values_at_ranks
+from dockline.plans.ranking import settled
 
 SAMPLE_KEYS = 20_000
 DIRECT_ROWS = 200_000
@@ -125,3 +129,41 @@ def keys_at_ranks(df: DataFrame, order: list[Term], ranks: list[int], *, rows: i
                 later[rank] = _Stretch(low, high, start, end - start)
         open_ = later
     return found
+
+
+def keys_at_score_ranks(df: DataFrame, score: str, ties: list[str], ranks: list[int], rows: int,
+                        direct_rows: int = DIRECT_ROWS) -> dict[int, tuple]:
+    """`keys_at_ranks` for an order of a score, highest first, and then of `ties`.
+
+    The scores at the ranks are selected on numbers alone; only rows with just these
+    scores are ordered by their ties. Scores that are missing or are no doubles take
+    the general way.
+    """
+    order = [Term(score, ascending=False), *[Term(c) for c in ties]]
+    wanted = sorted({r for r in ranks if 1 <= r <= rows})
+    if not wanted:
+        return {}
+    parts = settled(column_moments(df, [F.col(score)]))
+    present = parts.agg(F.sum("n")).first()[0]
+    if present != rows or not isinstance(df.schema[score].dataType, T.DoubleType):
+        return keys_at_ranks(df, order, wanted, rows=rows, direct_rows=direct_rows)
+    found = values_at_ranks(df, [F.col(score)], {0: rows}, parts, {0: [rows - r for r in reversed(wanted)]})
+    held = {r: found[0, rows - r] for r in wanted}
+    levels = sorted(set(held.values()))
+    counts = df.agg(*[F.count(F.when(test, 1)) for v in levels for test in (F.col(score) > v, F.col(score) == v)]).first()
+    above, equal = dict(zip(levels, counts[::2], strict=True)), dict(zip(levels, counts[1::2], strict=True))
+    keys: dict[int, tuple] = {}
+    few = [v for v in levels if equal[v] <= direct_rows // len(levels)]
+    for v in levels:
+        if v not in few:  # a score that many rows share is searched by the ties
+            inside = {r - above[v]: r for r in wanted if held[r] == v}
+            rest = keys_at_ranks(df.filter(F.col(score) == v), order, list(inside), rows=equal[v], direct_rows=direct_rows)
+            keys |= {inside[r]: key for r, key in rest.items()}
+    if few:
+        place = F.row_number().over(W.partitionBy(score).orderBy(*[term.order() for term in order]))
+        tied = df.select(score, *ties).filter(F.col(score).isin(*few)).withColumn("_place", place)
+        asked = reduce(lambda a, b: a | b, [
+            (F.col(score) == v) & F.col("_place").isin(*[r - above[v] for r in wanted if held[r] == v]) for v in few])
+        for row in tied.filter(asked).collect():  # a row a rank
+            keys[above[row[score] + 0.0] + row["_place"]] = tuple(row[c] for c in (score, *ties))
+    return keys

@@ -199,21 +199,19 @@ def _counted(df: DataFrame, values: list[Column], searches: list[_Search]) -> Da
     return parts.groupBy("number", "cell", "key").agg(F.sum("n").alias("n"))
 
 
-def exact_quantiles(
+def values_at_ranks(
     df: DataFrame,
     values: list[Column],
     rows: dict[int, int],
     thinned: DataFrame,
-    fractions: tuple[float, ...],
+    ranks: dict[int, list[int]],
     listed: int = LISTED_VALUES,
-) -> dict[int, list[float]]:
-    """Interpolated quantiles of each column by its place, in the order of `fractions`.
+) -> dict[tuple[int, int], float]:
+    """The value at each wanted rank (from 0, ascending) of each column, by (place, rank).
 
     `rows` has the number of present values of each column that has some, `thinned` the
-    rows of `column_moments`. The answers have the bits of the built-in percentile.
+    rows of `column_moments`.
     """
-    spots = {place: [f * (n - 1) for f in fractions] for place, n in rows.items()}
-    ranks = {place: sorted({side(x) for x in held for side in (math.floor, math.ceil)}) for place, held in spots.items()}
     found: dict[tuple[int, int], float] = {}
     open_ = _starts(thinned, rows, ranks, listed)
     while open_:
@@ -240,6 +238,24 @@ def exact_quantiles(
                 else:
                     later.append(search._replace(low=low, high=high, listed=inside[at][1] <= listed))
         open_ = later
+    return found
+
+
+def exact_quantiles(
+    df: DataFrame,
+    values: list[Column],
+    rows: dict[int, int],
+    thinned: DataFrame,
+    fractions: tuple[float, ...],
+    listed: int = LISTED_VALUES,
+) -> dict[int, list[float]]:
+    """Interpolated quantiles of each column by its place, in the order of `fractions`.
+
+    The answers have the bits of the built-in percentile.
+    """
+    spots = {place: [f * (n - 1) for f in fractions] for place, n in rows.items()}
+    ranks = {place: sorted({side(x) for x in held for side in (math.floor, math.ceil)}) for place, held in spots.items()}
+    found = values_at_ranks(df, values, rows, thinned, ranks, listed)
 
     def between(place: int, spot: float) -> float:
         low, high = found[place, math.floor(spot)], found[place, math.ceil(spot)]

@@ -149,6 +149,19 @@ def test_keys_at_ranks_equal_a_full_order(spark, levels, direct):
     assert got == {r: _ordered(rows)[r - 1] for r in ranks if 1 <= r <= 3000}
 
 
+@pytest.mark.parametrize("levels", [1, 3, 10_000])
+@pytest.mark.parametrize("direct", [100, 100_000])
+def test_keys_at_score_ranks_equal_a_full_order(spark, levels, direct):
+    pick = random.Random(levels)
+    rows = [(float(pick.randrange(-levels, levels)), pick.choice([None, f"n{pick.randrange(700)}"])) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "score double, name string").repartition(5)
+    ranks = [0, 1, 2, 300, 2999, 3000, 5999, 6000, 6001]
+    want = {r: _ordered(rows)[r - 1] for r in ranks if 1 <= r <= 6000}
+    assert cuts.keys_at_score_ranks(df, "score", ["name"], ranks, 6000, direct) == want
+    gaps = df.unionByName(df.limit(1).withColumn("score", F.lit(None).cast("double")))
+    assert cuts.keys_at_score_ranks(gaps, "score", ["name"], ranks[:8], 6001) == want
+
+
 def test_keys_at_ranks_of_equal_and_of_no_rows(spark):
     df = spark.createDataFrame([(1.0, "a")] * 500, "score double, name string")
     order = [cuts.Term("score"), cuts.Term("name")]
