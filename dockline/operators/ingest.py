@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockline.functions.columns import match_rows, percent, ratio, tally
+from dockline.functions.columns import inline_rows, match_rows, percent, ratio, tally
 from dockline.functions.parsing import (
     DAY_FIRST,
     MONTH_FIRST,
@@ -208,25 +208,23 @@ def interpret(published: DataFrame, regions: DataFrame | None = None) -> DataFra
 def parsing_report(df: DataFrame) -> DataFrame:
     """How every reason-coded field was resolved: one row per field."""
     fields = [c for c in df.columns if c.endswith("_reason")]
-    cells = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(c.removesuffix("_reason")).alias("field"), F.col(c).alias("reason"))
-                for c in fields
-            ]
-        )
+    wide = df.agg(
+        F.count("*").alias("rows"),
+        *[F.count(c).alias(f"total{i}") for i, c in enumerate(fields)],
+        *[tally(F.col(c) == reason).alias(f"{reason}{i}") for i, c in enumerate(fields) for reason in REASONS],
     )
-    counted = (
-        df.select(cells.alias("cell"))
-        .groupBy("cell.field")
-        .agg(
-            F.count("cell.reason").alias("total"),
-            *[tally(F.col("cell.reason") == reason).alias(reason) for reason in REASONS],
-        )
+    counted = inline_rows(
+        wide.filter("rows > 0"),
+        [
+            {
+                "field": F.lit(c.removesuffix("_reason")),
+                **{reason: F.col(f"{reason}{i}") for reason in REASONS},
+                "parsed_pct": percent(F.col(f"parsed{i}"), F.col(f"total{i}"), 2),
+            }
+            for i, c in enumerate(fields)
+        ],
     )
-    return counted.select(
-        "field", *REASONS, percent(F.col("parsed"), F.col("total"), 2).alias("parsed_pct")
-    ).orderBy("parsed_pct", "field")
+    return counted.orderBy("parsed_pct", "field")
 
 
 def with_era(
