@@ -84,9 +84,9 @@ def test_folders_short_records_and_files_without_rows(spark, tmp_path, tiny_spli
 def test_size_decides_who_reads(spark, tmp_path, monkeypatch, tiny_splits):
     used = []
     monkeypatch.setattr(files, "read_records", lambda *a: used.append(a) or split_csv.read_records(*a))
-    small, large = written(tmp_path / "s.csv", [["1", "2", "3"]]), written(tmp_path / "l.csv", [["1", "2", "3"]] * 20)
+    small, large = written(tmp_path / "s.csv", [["1", "2", "3"]]), written(tmp_path / "l.csv", [["1", "2", "3"]] * 200)
     assert files._read_csv(spark, str(small), SCHEMA).count() == 1 and not used
-    assert files._read_csv(spark, str(large), SCHEMA).count() == 20 and used
+    assert files._read_csv(spark, str(large), SCHEMA).count() == 200 and used
 
 
 def test_an_unclosed_quote_takes_the_rest_of_its_file(spark, tmp_path, tiny_splits):
