@@ -13,7 +13,9 @@ but the first in document order starts a repeated run of h lines; a maximal run
 of length L is the union of the windows of 2^k <= L lines inside it, since each of
 them starts earlier too. So the intervals of each doubling step give the lines
 that lie in later copies, exactly, and the deepest one gives the run's length to a
-factor of two. Runs of fewer than `min_lines` lines are left alone.
+factor of two. Runs of fewer than `min_lines` lines are left alone, but for single
+lines of `min_words` words or more: a paragraph that is one line counts by its
+words, from the intervals of the first step.
 
 The order within a round comes from one range partitioning of the distinct
 pairs, summed by partition; no group and no window spans the table, and a line
@@ -33,16 +35,20 @@ from pyspark.taskcontext import TaskContext
 from dockline.llm.common import batch_texts, keyed, shuffle_width, stored
 
 MIN_LINES = 2
+MIN_WORDS = 20
 DOCUMENT = ["_id", "_th"]
 
 
-def line_rows(own: DataFrame) -> DataFrame:
-    """(_id, _th, line, a, b): number and 128-bit hash of each line with a word; rows are distinct."""
-    words = r"[^\x20\x09-\x0D]"
+def line_rows(own: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(_id, _th, line, a, b, long): number and 128-bit hash of each line with a word, and
+    whether it has `min_words` words; rows are distinct."""
+    words, space = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+    # anchored and possessive, so a line is read once however long its words are
+    many = f"^{space}*+(?:{words}++{space}++){{{min_words - 1}}}{words}"
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(words))
     rows = own.select(*DOCUMENT, F.posexplode(F.transform(lines, lambda x: F.struct(
-        F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit("second")).alias("b")))).alias("line", "h"))
-    return rows.select(*DOCUMENT, "line", "h.a", "h.b")
+        F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit("second")).alias("b"), x.rlike(many).alias("long")))).alias("line", "h"))
+    return rows.select(*DOCUMENT, "line", "h.a", "h.b", "h.long")
 
 
 def ranked(keys: DataFrame) -> tuple[DataFrame, int]:
@@ -88,35 +94,33 @@ def _intervals(rows: DataFrame) -> DataFrame:
     )
 
 
-def repeated_runs(own: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(_id, _th, line, span): lines at which a run of `span` >= min_lines lines starts that also starts earlier.
+def repeated_runs(own: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(_id, _th, line, span): lines at which a run of `span` >= min_lines lines, or a line of
+    `min_words` words or more (span 1), starts that also starts earlier.
 
     `span` is the largest power-of-two step, or `min_lines`, that still has an earlier copy.
     """
-    rows = stored(line_rows(own).repartition(*DOCUMENT).dropDuplicates([*DOCUMENT, "line"]), "lines-hashed")
-    found, step = None, 1
+    rows = stored(line_rows(own, min_words).repartition(*DOCUMENT).dropDuplicates([*DOCUMENT, "line"]), "lines-hashed")
+    found, step = own.sparkSession.createDataFrame([], "_id long, _th long, line int, span int"), 1
     while True:
         names, number = ranked(_intervals(rows))
         if not number:
             break
         # positions whose interval has several members; the others are final
-        live = stored(
-            rows.join(names, ["a", "b"]).select(
-                *DOCUMENT, "line", "rank", (F.struct(*DOCUMENT, "line") != F.col("first")).alias("later")),
-            "lines-live",
-        )
+        later = F.struct(*DOCUMENT, "line") != F.col("first")
+        carried = [*DOCUMENT, "line", "rank", later.alias("later"), *(["long"] if step == 1 else [])]
+        live = stored(rows.join(names, ["a", "b"]).select(*carried), "lines-live")
         if step >= min_lines:
-            spans = live.filter("later").select(*DOCUMENT, "line", F.lit(step).alias("span"))
-            found = spans if found is None else found.unionAll(spans)
-        elif 2 * step > min_lines:
+            found = found.unionAll(live.filter("later").select(*DOCUMENT, "line", F.lit(step).alias("span")))
+        elif step == 1:
+            found = found.unionAll(live.filter("later AND long").select(*DOCUMENT, "line", F.lit(1).alias("span")))
+        if step < min_lines < 2 * step:
             # two overlapping windows of this step make one of min_lines
             joined = stored(_paired(live, min_lines - step), "lines-exact")
-            exact = joined.join(_intervals(joined), ["a", "b"]).filter(F.struct(*DOCUMENT, "line") != F.col("first"))
-            found = exact.select(*DOCUMENT, "line", F.lit(min_lines).alias("span"))
+            exact = joined.join(_intervals(joined), ["a", "b"]).filter(later)
+            found = found.unionAll(exact.select(*DOCUMENT, "line", F.lit(min_lines).alias("span")))
         rows = stored(_paired(live, step), "lines-paired")
         step *= 2
-    if found is None:
-        return own.sparkSession.createDataFrame([], "_id long, _th long, line int, span int")
     return found.groupBy(*DOCUMENT, "line").agg(F.max("span").alias("span"))
 
 
@@ -129,20 +133,22 @@ def _paired(live: DataFrame, step: int) -> DataFrame:
     return live.select(*DOCUMENT, "line", F.col("rank").alias("a")).join(other, [*DOCUMENT, "line"])
 
 
-def without_repeats(docs: DataFrame, *, min_lines: int = MIN_LINES, text: str = "text",
-                    id_column: str = "doc_id") -> DataFrame:
+def without_repeats(docs: DataFrame, *, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS,
+                    text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Per row of `docs`: all its columns, the text without later copies of repeated runs, and
     n_lines, n_removed (lines with a word), longest_run (of the found steps), as `_n_lines` etc.
 
     Earlier means a smaller doc_id (null first; equal ids by the text's hash) or an
     earlier line. Rows equal in id and text are one document and get equal results.
-    Lines without a word stay. A null text stays null; columns of the names used
-    inside are not touched, since only id and text are read to find the runs.
+    A run is `min_lines` or more lines, or one line of `min_words` or more words (runs of
+    neither kind stay). Lines without a word stay. A null text stays null; an empty table
+    gives an empty one; columns of the names used inside are not touched, since only id and
+    text are read to find the runs. A text of any length is one row of hashes a line.
     """
     spark = docs.sparkSession
     batch_texts(spark)
     own = keyed(docs, text, id_column)
-    runs = repeated_runs(own, min_lines).groupBy(*DOCUMENT).agg(F.collect_list(F.struct("line", "span")).alias("_spans"))
+    runs = repeated_runs(own, min_lines, min_words).groupBy(*DOCUMENT).agg(F.collect_list(F.struct("line", "span")).alias("_spans"))
     names = [c for c in docs.columns if c != text]
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text).cast("string").alias("_text"),

@@ -233,8 +233,12 @@ worded AS (
 pairs AS (
   SELECT a.doc_id, a.k, row_number() OVER (PARTITION BY a.x, b.x ORDER BY a.doc_id, a.k) AS r
   FROM worded a JOIN worded b ON a.doc_id = b.doc_id AND b.k = a.k + 1),
+long AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY x ORDER BY doc_id, k) AS r
+  FROM worded WHERE len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 20),
 gone AS (
-  SELECT DISTINCT w.doc_id, w.p FROM pairs q JOIN worded w ON w.doc_id = q.doc_id AND w.k IN (q.k, q.k + 1) WHERE q.r > 1),
+  SELECT w.doc_id, w.p FROM pairs q JOIN worded w ON w.doc_id = q.doc_id AND w.k IN (q.k, q.k + 1) WHERE q.r > 1
+  UNION SELECT doc_id, p FROM long WHERE r > 1),
 kept AS (
   SELECT l.doc_id, string_agg(x, chr(10) ORDER BY p) AS t FROM l ANTI JOIN gone USING (doc_id, p) GROUP BY l.doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM worded GROUP BY doc_id),

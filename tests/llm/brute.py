@@ -33,9 +33,9 @@ def quality(text):
     return len(ws), chars, symbols, dup, repeats, base, kept
 
 
-def line_dedup(docs, min_lines=2):
+def line_dedup(docs, min_lines=2, min_words=20):
     """docs: (id, text) with distinct ids; {id: (text, n_lines, n_removed)}."""
-    seen, out = set(), {}
+    seen, single, out = set(), set(), {}
     for name, text in sorted(docs, key=lambda d: LOWEST if d[0] is None else d[0]):
         lines = (text or "").split("\n")
         at = [k for k, line in enumerate(lines) if WORD.search(line)]
@@ -46,6 +46,10 @@ def line_dedup(docs, min_lines=2):
             if run in seen:
                 drop.update(window)
             seen.add(run)
+        for k in at:
+            if len(words(lines[k])) >= min_words and lines[k] in single:
+                drop.add(k)
+            single.add(lines[k])
         out[name] = ("\n".join(x for k, x in enumerate(lines) if k not in drop), len(at), len(drop))
     return out
 

@@ -29,6 +29,20 @@ def test_lines_match_the_plain_version(spark, min_lines):
     assert max(r._longest_run for r in out.collect()) >= 32
 
 
+@pytest.mark.parametrize(("min_lines", "min_words"), [(2, 2), (3, 3), (4, 2), (2, 20)])
+def test_long_single_lines_count_by_their_words(spark, min_lines, min_words):
+    pick = random.Random(min_words)
+    pool = ["one", "two words", "now three words", " ".join(f"p{i}" for i in range(19)), " ".join(f"q{i}" for i in range(20)),
+            "\t" + "\x0b ".join(f"r{i}" for i in range(25)) + " ", "x" * 200_000, "\x85 \u3000 wide"]
+    docs = [(i, "\n".join(pick.choice(pool) for _ in range(pick.randint(0, 5)))) for i in range(25)]
+    docs += [(90, pool[4]), (91, pool[4]), (92, f"new\n{pool[5]}\nend"), (93, " ".join(f"v{i % 7}" for i in range(300_000)))]
+    docs += [(94, docs[-1][1]), (95, None)]
+    out = lines.without_repeats(frame(spark, docs), min_lines=min_lines, min_words=min_words).collect()
+    got = {r.doc_id: (r.text or "", r._n_lines, r._n_removed) for r in out}
+    assert got == brute.line_dedup(docs, min_lines, min_words)
+    assert got[94] == ("", 1, 1) and got[91][2] == 1
+
+
 def test_lines_repeated_rows_are_one_document_and_an_empty_table_is_empty(spark):
     docs = [(1, "a b\nc d\ne f"), (1, "a b\nc d\ne f"), (2, "a b\nc d\nnew")]
     got = sorted((r.doc_id, r.text) for r in lines.without_repeats(frame(spark, docs)).collect())
