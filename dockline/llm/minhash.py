@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockline.llm.common import (
+    LOWEST,
     Words,
     batch_texts,
     components,
@@ -187,6 +188,42 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, text:
     and is linked with nothing. Rows that repeat a doc_id are separate rows; a
     row with a null id takes part in links, its component_id is null only if no
     linked row has an id, and it is kept in just that case. Other columns are not read.
+    An empty table gives no row; a text of any length is one row of fixed-size signatures.
+    """
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.when(~F.col("first.nameless"), F.col("first._id")))
+    return linked(docs, size, percent, text, id_column).select(
+        "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
+    )
+
+
+def one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 80, text: str = "text",
+                id_column: str = "doc_id") -> DataFrame:
+    """The rows of `docs` with one row of each group of near-duplicates, all columns.
+
+    It is the row of the smallest id; rows with an id come before rows with none, equal
+    ids are ordered by the text's hash, and of rows equal in id and text the one whose
+    JSON is the smallest stays. Rows without words are in no group and all stay.
+    """
+    key = ["_id", "_th"]
+    rows = linked(docs, size, percent, text, id_column).filter("set_key IS NOT NULL")
+    states = settled(
+        rows.groupBy(*key).agg(F.count("*").alias("n"), F.first("first").alias("first"))
+        .withColumn("first", F.struct(*key) == F.struct("first._id", "first._th")).filter("NOT first OR n > 1")
+    )
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.coalesce(F.col(id_column).cast("long"), F.lit(LOWEST)).alias("_id"),
+        F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_th"),
+    )
+    single = packed.join(states.select(*key), key, "left_anti").select("_row")
+    again = packed.join(states.filter("first").select(*key), key, "left_semi")
+    again = again.groupBy(*key).agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row")
+    return single.unionAll(again).select("_row.*")
+
+
+def linked(docs: DataFrame, size: int, percent: int, text: str, id_column: str) -> DataFrame:
+    """Per row of `docs`: doc_id, _id, _th, n_shingles, set_key and `first`, the key
+    (nameless, _id, _th) of its component's first row: those with an id before those with none.
     """
     spark = docs.sparkSession
     batch_texts(spark)
@@ -196,9 +233,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, text:
     # one row, the carrier, stands for all rows of equal sets
     classes = stored(
         full.groupBy("set_key").agg(
-            F.min("doc_id").alias("low"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "_id", "_th")).alias("first"),
             F.min_by(F.struct("_id", "_th", F.col("n_shingles").alias("n"), "fields", "bands"), F.struct("_id", "_th")).alias("c"),
-        ).select("set_key", "low", "c.*"),
+        ).select("set_key", "first", "c.*"),
         "minhash-classes",
     )
     entries = classes.select("set_key", F.explode("bands").alias("key")).repartition("key")
@@ -237,15 +274,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, text:
 
     # classes outside any shared bucket are their own component
     rooted = settled(classes.join(nodes.select("set_key", "root"), "set_key", "left").select(
-        "set_key", "low", F.coalesce("root", "set_key").alias("root")))
-    tops = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(tops, "root").select("set_key", "component_id")
+        "set_key", "first", F.coalesce("root", "set_key").alias("root")))
+    tops = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = rooted.drop("first").join(tops, "root").select("set_key", "first")
     # a set with thousands of copies is one class row here and a hot key only on the left side
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
-    )
+    return signed.select("doc_id", "_id", "_th", "n_shingles", "set_key").join(named, "set_key", "left")
 
 
 def remaining_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:

@@ -112,6 +112,20 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert minhash.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    near, other = text + " more", "a clean row under the id of a linked one"
+    docs = [(5, text), (5, text), (None, text), (None, near), (7, near), (7, other), (5, other + " x"), (None, "q r s t u v"),
+            (None, "q r s t u v"), (None, None), (None, None), (3, "")]
+    got = sorted(((r.doc_id, r.text, r.line) for r in minhash.one_of_each(frame(spark, docs), size=2).collect()), key=str)
+    want = [(5, text), (7, other), (5, other + " x"), (None, "q r s t u v"), (None, None), (None, None), (3, "")]
+    linked = brute.near([(1, other), (2, other + " x")], 2)
+    assert linked[2][1] == 1  # so the smaller id of these two stays
+    want.remove((7, other))
+    assert got == sorted(((i, t, "x") for i, t in want), key=str)
+    assert minhash.one_of_each(frame(spark, [])).collect() == []
+
+
 def test_estimate_is_close_to_the_similarity(spark):
     import numpy as np
 
