@@ -100,16 +100,16 @@ def merge_single_rows(*frames: DataFrame) -> DataFrame:
 
 
 def distinct_per_column(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """One row of exact distinct counts, one per column.
+    """One row of exact distinct counts, one per column; nulls are no level.
 
-    Levels are unpivoted and deduplicated once, with map-side combine, instead
-    of one expanded copy of each row per distinct aggregate.
+    Each column is deduplicated alone, on its own type and with map-side combine, so
+    a scan reads one column and no row is expanded.
     """
-    cells = F.array(
-        *[F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("v")) for n, c in columns.items()]
-    )
-    levels = df.select(F.explode(cells).alias("c")).select("c.*").filter("v is not null").distinct()
-    return levels.agg(*[tally(F.col("name") == name).alias(name) for name in columns])
+    counts = [
+        df.select(F.col(column).alias("v")).filter("v is not null").distinct().agg(F.count("*").alias(name))
+        for name, column in columns.items()
+    ]
+    return merge_single_rows(*counts)
 
 
 def levels_outside(df: DataFrame, column: str, allowed: tuple, name: str = "level") -> DataFrame:

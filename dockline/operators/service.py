@@ -19,10 +19,12 @@ from dockline.functions.columns import (
     tally,
     whole_sum,
 )
+from dockline.plans.moments import column_medians
 from dockline.plans.quantiles import grouped_quantiles
 from dockline.plans.ranking import running
 
 KPI_COUNTS = {"countries": "country", "vendors": "vendor", "manufacturing_sites": "manufacturing_site"}
+KPI_MEDIANS = ("delivery_delay_days", "freight_pct_of_value", "vendor_lead_time_days")
 PERIODS = {"quarter": "delivery_quarter", "month": "delivery_month", "year": "delivery_year"}
 # Interval names. The last entry says what rows an interval rests on.
 INTERVALS = (
@@ -275,21 +277,13 @@ def shipment_kpis(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
     # a distinct count in the same aggregate would expand every row
     levels = distinct_per_column(df, KPI_COUNTS)
-    medians = grouped_quantiles(
-        df,
-        [],
-        {
-            "median_delay_days": ("delivery_delay_days", 0.5),
-            "median_freight_pct_of_value": ("freight_pct_of_value", 0.5),
-            "median_vendor_lead_time_days": ("vendor_lead_time_days", 0.5),
-        },
-    )
+    delay, freight, lead = column_medians(df, list(KPI_MEDIANS))
     target = F.lit(settings.on_time_target_pct)
-    return merge_single_rows(sums, levels, medians).withColumns(
+    return merge_single_rows(sums, levels).withColumns(
         {
-            "median_delay_days": rounded(F.col("median_delay_days"), 1),
-            "median_freight_pct_of_value": rounded(F.col("median_freight_pct_of_value"), 2),
-            "median_vendor_lead_time_days": rounded(F.col("median_vendor_lead_time_days"), 1),
+            "median_delay_days": rounded(F.lit(delay).cast("double"), 1),
+            "median_freight_pct_of_value": rounded(F.lit(freight).cast("double"), 2),
+            "median_vendor_lead_time_days": rounded(F.lit(lead).cast("double"), 1),
             "on_time_target_pct": target,
             "meets_on_time_target": F.col("on_time_delivery_pct") >= target,
         }

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dockline.plans.ranking import settled
+
 STEP = 64
 CHUNK_ROWS = 100_000
 LISTED_VALUES = 4_000
@@ -264,6 +266,15 @@ def exact_quantiles(
     return {place: [between(place, spot) for spot in held] for place, held in spots.items()}
 
 
+def column_medians(df: DataFrame, columns: list[str]) -> list[float | None]:
+    """Exact median of each column, null for a column without values; two or three scans of these columns."""
+    values = [F.col(c).cast("double") for c in columns]
+    parts = settled(column_moments(df, values).select("place", "n", "thinned"))
+    rows = {row["place"]: row["n"] for row in parts.groupBy("place").agg(F.sum("n").alias("n")).collect()}  # one row per column
+    found = exact_quantiles(df, values, rows, parts, (0.5,))
+    return [float(found[place][0]) if place in found else None for place in range(len(columns))]
+
+
 def outside_counts(df: DataFrame, values: list[Column], bounds: list[tuple[float, float, float, float]]) -> DataFrame:
     """(place, outside, third): values below `lower` or above `upper`, and values other than `low` and `high`."""
     width = len(values)

@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from dockline.functions.columns import distinct_per_column
 from dockline.operators import quality
 from dockline.plans.levels import level_counts
-from dockline.plans.moments import column_moments, exact_quantiles, merged_moments, outside_counts
+from dockline.plans.moments import column_medians, column_moments, exact_quantiles, merged_moments, outside_counts
 
 FRACTIONS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -109,3 +110,19 @@ def test_an_audit_explodes_no_cell(spark, ship):
     for name, report in alone.items():
         assert sorted(map(str, getattr(audit, name).collect())) == sorted(map(str, report.collect())), name
     assert audit.duplicates.summary.collect() == quality.duplicate_report(ship, ["shipment_id"]).summary.collect()
+
+
+def test_medians_of_columns_with_and_without_values(spark):
+    rows = [(i, None, float(i % 3) if i % 4 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a int, b double, c double").repartition(5)
+    want = df.agg(*[F.percentile(c, 0.5) for c in "abc"]).first()
+    assert column_medians(df, ["a", "b", "c"]) == list(want)
+    assert column_medians(df.limit(0), ["a", "b"]) == [None, None]
+
+
+def test_distinct_counts_keep_the_type_of_a_column(spark):
+    rows = [(1, "x", 0.0), (1, None, -0.0), (2, "X", None), (None, "x", float("nan")), (2, "", float("nan"))]
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    got = distinct_per_column(df, {"n_a": "a", "n_b": "b", "n_c": "c"}).first()
+    assert tuple(got) == (2, 3, 2)
+    assert tuple(distinct_per_column(df.limit(0), {"n_a": "a"}).first()) == (0,)
