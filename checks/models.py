@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from checks.base import SHIP, also, rnd
@@ -15,7 +18,7 @@ from checks.quality import MISSING, SEVERITY
 from dockline.functions.columns import levels_outside
 from dockline.config import DEFAULTS
 from dockline.operators import clinical, evaluation, quality, scoring, training
-from dockline.plans.ranking import use_checkpoint_dir
+from dockline.plans.ranking import settled, use_checkpoint_dir
 from dockline.sources import files
 from dockline.sources import tables as t
 
@@ -480,6 +483,38 @@ def _patient_scores(spark, folder):
 
 
 add("patient_batch_scores", _patient_scores)
+# The searched model is fitted on about this many rows; forests and boosted trees take small grids.
+SEARCH_ROWS = 20_000
+
+
+def _late_search(spark, folder):
+    """The tuned search over three families: the whole tree grid, five folds."""
+    forest = training.make_model("random_forest", 2)
+    boosted = training.make_model("boosted_trees", 2)
+    grids = {
+        "random_forest": ParamGridBuilder().addGrid(forest.numTrees, [20]).addGrid(forest.maxDepth, [4, 8]).build(),
+        "boosted_trees": ParamGridBuilder().addGrid(boosted.maxIter, [10]).addGrid(boosted.stepSize, [0.1, 0.2]).build(),
+    }
+    found = training.train_late_delivery(t.stored_shipments(spark, folder), grids=grids, fit_rows=SEARCH_ROWS)
+    return found.comparison.drop("fit_seconds")
+
+
+add("late_model_search", _late_search)
+
+
+def _patient_depths(spark, folder):
+    """Accuracy by depth on patient features over five folds, from one fit a fold."""
+    numeric, categorical = clinical.feature_columns()
+    frame = clinical.engineer_features(clinical.clean_patients(t.patients(spark, folder)).frame).dropna()
+    identity = [*clinical.NUMERIC, *clinical.CATEGORICAL]
+    rows = frame.select(*[F.col(c).cast("double").alias(c) for c in numeric], *categorical, F.col(clinical.TARGET).alias("label"))
+    split = evaluation.with_split(rows, "label", identity, 0.2, DEFAULTS.cv_folds, DEFAULTS.seed).filter("not is_test")
+    stages = [StringIndexer(inputCol="label", outputCol="label_index"), *training.preprocessor(numeric, categorical)]
+    ready = Pipeline(stages=stages).fit(split).transform(split).select("features", "label_index", "fold")
+    return training.depth_sweep(settled(ready), list(range(0, 11)))
+
+
+add("tree_depth_sweep", _patient_depths)
 add("late_model_metrics", lambda spark, folder: _late_model(spark, folder).metrics)
 add("late_model_importance", lambda spark, folder: _late_model(spark, folder).importance)
 

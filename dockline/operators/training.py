@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockline.config import DEFAULTS, Settings
-from dockline.operators import clinical, evaluation
+from dockline.operators import clinical, evaluation, tree_levels
 from dockline.operators.quality import most_frequent
 from dockline.plans.ranking import settled
 
@@ -49,6 +49,9 @@ LEAKING = (
 FAMILIES = ("decision_tree", "random_forest", "boosted_trees")
 MAX_DEPTH = 30
 MAX_LABELS = 1_000
+TREE_DEPTHS = (3, 4, 5, 6, 8, MAX_DEPTH)
+TREE_LEAF_ROWS = (1, 2, 3)
+IMPURITIES = ("gini", "entropy")
 
 
 def late_delivery_frame(df: DataFrame) -> DataFrame:
@@ -127,9 +130,9 @@ def search_grid(family: str, model, classes: int) -> list[dict]:
     """
     builder = ParamGridBuilder()
     if family == "decision_tree":
-        builder = builder.addGrid(model.maxDepth, [3, 4, 5, 6, 8, MAX_DEPTH])
-        builder = builder.addGrid(model.minInstancesPerNode, [1, 2, 3])
-        builder = builder.addGrid(model.impurity, ["gini", "entropy"])
+        builder = builder.addGrid(model.maxDepth, list(TREE_DEPTHS))
+        builder = builder.addGrid(model.minInstancesPerNode, list(TREE_LEAF_ROWS))
+        builder = builder.addGrid(model.impurity, list(IMPURITIES))
     elif family == "random_forest":
         builder = builder.addGrid(model.numTrees, [200, 400])
         builder = builder.addGrid(model.maxDepth, [4, 6, 8, MAX_DEPTH])
@@ -213,6 +216,37 @@ def feature_importance(model: PipelineModel, frame: DataFrame, numeric: list[str
     return out.orderBy(F.col("importance").desc(), "feature")
 
 
+class _Found(NamedTuple):
+    model: object
+    params: dict
+    cv_mean: float
+    cv_std: float
+    points: int
+
+
+def _tuned_tree(ready: DataFrame, tree: DecisionTreeClassifier, settings: Settings) -> _Found:
+    """The best point of the tree grid (of equal ones the first), fitted on all rows."""
+    searched = tree_levels.tree_search(ready, list(TREE_DEPTHS), list(TREE_LEAF_ROWS), list(IMPURITIES), settings).collect()
+    best = max(searched, key=lambda r: (r["cv_mean"], -r["max_depth"], -r["min_rows"], r["impurity"] == IMPURITIES[0]))
+    params = {"maxDepth": best["max_depth"], "minInstancesPerNode": best["min_rows"], "impurity": best["impurity"]}
+    return _Found(tree.copy().setParams(**params).fit(ready), params, best["cv_mean"], best["cv_std"], len(searched))
+
+
+def _cross_validated(ready: DataFrame, estimator, grid: list[dict], settings: Settings, parallelism: int) -> _Found:
+    search = CrossValidator(
+        estimator=estimator,
+        estimatorParamMaps=grid,
+        evaluator=MacroF1(),
+        numFolds=settings.cv_folds,
+        foldCol="fold",
+        parallelism=parallelism,
+        seed=settings.seed,
+    ).fit(ready)
+    place = max(range(len(grid)), key=lambda i: search.avgMetrics[i])
+    params = {p.name: v for p, v in grid[place].items()}
+    return _Found(search.bestModel, params, float(search.avgMetrics[place]), float(search.stdMetrics[place]), len(grid))
+
+
 def train_classifier(
     frame: DataFrame,
     numeric: list[str],
@@ -223,10 +257,14 @@ def train_classifier(
     tune: bool = True,
     settings: Settings = DEFAULTS,
     parallelism: int = 4,
+    fit_rows: int | None = None,
 ) -> Trained:
     """Split, search by stratified cross-validation, pick by its score, evaluate on the test rows.
 
-    ``frame`` has a text ``label``. The test rows never take part in choosing.
+    ``frame`` has a text ``label``. The test rows never take part in choosing. ``fit_rows``
+    bounds the rows that models are fitted on to about that many, the training rows of the
+    smallest hashes of ``identity``; all test rows are scored. A tuned decision tree without a
+    grid of its own takes one fit for all depths.
     """
     usable = frame.filter(F.col("label").isNotNull())
     labels = [r[0] for r in usable.select("label").distinct().orderBy("label").limit(MAX_LABELS + 1).collect()]
@@ -240,6 +278,9 @@ def train_classifier(
     indexer = StringIndexerModel.from_labels(labels, inputCol="label", outputCol="label_index")
     split = indexer.transform(split)
     train, test = split.filter("not is_test"), split.filter("is_test")
+    if fit_rows is not None and (rows_held := train.count()) > fit_rows:
+        # the hash is even over 2^32 values
+        train = train.filter(F.pmod(F.xxhash64(*identity), F.lit(1 << 32)) < int(fit_rows / rows_held * (1 << 32)))
     prepared = Pipeline(stages=preprocessor(numeric, categorical)).fit(train)
     ready = settled(prepared.transform(train).select("features", "label_index", "fold"))
 
@@ -247,26 +288,23 @@ def train_classifier(
     for family in families:
         start = time.perf_counter()
         estimator = make_model(family, len(labels), settings.seed)
-        grid = (grids or {}).get(family) or (search_grid(family, estimator, len(labels)) if tune else [{}])
-        search = CrossValidator(
-            estimator=estimator,
-            estimatorParamMaps=grid,
-            evaluator=MacroF1(),
-            numFolds=settings.cv_folds,
-            foldCol="fold",
-            parallelism=parallelism,
-            seed=settings.seed,
-        ).fit(ready)
-        place = max(range(len(grid)), key=lambda i: search.avgMetrics[i])
-        model = PipelineModel(stages=[*prepared.stages, search.bestModel])
-        fitted[family] = (model, {p.name: v for p, v in grid[place].items()})
+        own = (grids or {}).get(family)
+        if family == "decision_tree" and tune and own is None:
+            found = _tuned_tree(ready, estimator, settings)
+        else:
+            found = _cross_validated(ready, estimator, own or (search_grid(family, estimator, len(labels)) if tune else [{}]),
+                                     settings, parallelism)
+        model = PipelineModel(stages=[*prepared.stages, found.model])
+        fitted[family] = (model, found.params)
         scored = with_class_columns(model.transform(test), labels)
         metrics = evaluation.classification_metrics(scored, "label", "predicted").first()
         rows.append(
             (
                 family,
-                float(search.avgMetrics[place]),
-                float(search.stdMetrics[place]),
+                found.cv_mean,
+                found.cv_std,
+                found.points,
+                json.dumps(found.params, sort_keys=True),
                 metrics["accuracy"],
                 metrics["f1_macro"],
                 metrics["precision_macro"],
@@ -277,7 +315,7 @@ def train_classifier(
     spark = frame.sparkSession
     comparison = spark.createDataFrame(
         rows,
-        "model string, cv_mean double, cv_std double, test_accuracy double, test_f1_macro double, "
+        "model string, cv_mean double, cv_std double, points int, params string, test_accuracy double, test_f1_macro double, "
         "test_precision double, test_recall double, fit_seconds double",
     ).orderBy(F.col("cv_mean").desc(), "model")
     best = max(rows, key=lambda r: r[1])[0]
@@ -333,30 +371,11 @@ def train_drug_class(patients: DataFrame, **options) -> Trained:
 
 
 def depth_sweep(trained_frame: DataFrame, depths: list[int], settings: Settings = DEFAULTS) -> DataFrame:
-    """Cross-validated accuracy of a tree per depth.
+    """Cross-validated accuracy of a tree per depth, from one fit a fold.
 
     ``trained_frame`` has ``features``, ``label_index`` and ``fold``.
     """
-
-    class Accuracy(MacroF1):
-        def _evaluate(self, dataset: DataFrame) -> float:
-            hit = (F.col("label_index") == F.col("prediction")).cast("double")
-            return float(dataset.agg(F.avg(hit)).first()[0])
-
-    tree = DecisionTreeClassifier(labelCol="label_index", featuresCol="features", seed=settings.seed)
-    grid = ParamGridBuilder().addGrid(tree.maxDepth, depths).build()
-    search = CrossValidator(
-        estimator=tree,
-        estimatorParamMaps=grid,
-        evaluator=Accuracy(),
-        numFolds=settings.cv_folds,
-        foldCol="fold",
-        parallelism=4,
-    ).fit(trained_frame)
-    rows = [(d, float(m), float(s)) for d, m, s in zip(depths, search.avgMetrics, search.stdMetrics)]
-    return trained_frame.sparkSession.createDataFrame(
-        rows, "max_depth int, cv_accuracy double, cv_std double"
-    ).orderBy("max_depth")
+    return tree_levels.accuracy_by_depth(tree_levels.fold_counts(trained_frame, depths, settings))
 
 
 # --- storage --------------------------------------------------------------------------

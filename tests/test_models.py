@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dockline.config import DEFAULTS
-from dockline.operators import clinical, evaluation, scoring, training
+from dockline.operators import clinical, evaluation, scoring, training, tree_levels
 from dockline.sources import tables
 from tests.conftest import SMALL
 
@@ -141,3 +141,53 @@ def test_boosted_trees_handle_many_classes(spark):
     grid = training.search_grid("boosted_trees", model, 3)
     assert len(grid) == 36
     assert len(training.search_grid("decision_tree", training.make_model("decision_tree", 3), 3)) == 36
+
+
+def _prepared(spark, rows=600):
+    """Numbers and one-hot categories with a noisy label of three classes, in three folds."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+
+    df = spark.range(rows).select(
+        "id", (F.xxhash64("id") % 1000 / 100.0).alias("x"), (F.xxhash64("id", F.lit(1)) % 50).cast("double").alias("y"),
+        F.concat(F.lit("c"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(4)).cast("string")).alias("c"), F.pmod("id", F.lit(3)).alias("fold"))
+    noise = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(7)) == 0
+    label = F.when(noise, F.pmod("id", F.lit(3))).when(F.col("c") == "c1", 2).when(F.col("x") + F.col("y") / 10 > 1, 1).otherwise(0)
+    stages = [StringIndexer(inputCol="c", outputCol="ci"), OneHotEncoder(inputCol="ci", outputCol="cv"),
+              VectorAssembler(inputCols=["x", "y", "cv", "ci"], outputCol="features")]
+    return Pipeline(stages=stages).fit(df).transform(df.withColumn("label_index", label.cast("double"))).select("features", "label_index", "fold").cache()
+
+
+def test_one_fit_gives_the_scores_of_a_fit_for_each_depth(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    frame, settings, depths = _prepared(spark), replace(DEFAULTS, cv_folds=3), [0, 1, 3, 12]
+    tree = DecisionTreeClassifier(labelCol="label_index", featuresCol="features", seed=settings.seed, minInstancesPerNode=2, impurity="entropy")
+    grid = ParamGridBuilder().addGrid(tree.maxDepth, depths).build()
+    apart = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=training.MacroF1(), numFolds=3, foldCol="fold").fit(frame)
+    found = tree_levels.tree_search(frame, depths, [2], ["entropy"], settings).collect()
+    assert [r["max_depth"] for r in found] == depths
+    # the evaluator rounds each fold's score to six places
+    assert [r["cv_mean"] for r in found] == pytest.approx(apart.avgMetrics, abs=6e-7)
+    assert [r["cv_std"] for r in found] == pytest.approx(apart.stdMetrics, abs=1e-6)
+    sweep = training.depth_sweep(frame, [0, 2], settings).collect()
+    for row in sweep:
+        hits = []
+        for fold in range(3):
+            model = tree.copy().setParams(maxDepth=row["max_depth"], minInstancesPerNode=1, impurity="gini").fit(frame.filter(F.col("fold") != fold))
+            scored = model.transform(frame.filter(F.col("fold") == fold))
+            hits.append(scored.agg(F.avg((F.col("prediction") == F.col("label_index")).cast("double"))).first()[0])
+        assert row["cv_accuracy"] == pytest.approx(sum(hits) / 3, abs=1e-9)
+    nodes = tree_levels.node_arrays(tree.fit(frame), frame)
+    assert tree_levels.level_counts(frame.limit(0), nodes, depths).collect() == []
+
+
+def test_a_tuned_search_reports_its_points_and_bounds_its_rows(spark):
+    df = spark.range(900).select(
+        "id", (F.col("id") % 10).cast("double").alias("x"), F.when(F.col("id") % 3 == 0, "u").otherwise("v").alias("c"),
+        F.when(F.col("id") % 10 > 6, "Late").otherwise("OnTime").alias("label"))
+    found = training.train_classifier(df, ["x"], ["c"], ["id"], families=("decision_tree",), settings=replace(DEFAULTS, cv_folds=2), fit_rows=300)
+    row = found.comparison.first()
+    assert row["points"] == 36 and row["cv_mean"] == 1.0 and '"maxDepth": 3' in row["params"]
+    assert found.scored_test.count() == found.scored_test.filter("is_test").count() == 226
