@@ -191,3 +191,33 @@ def test_a_tuned_search_reports_its_points_and_bounds_its_rows(spark):
     row = found.comparison.first()
     assert row["points"] == 36 and row["cv_mean"] == 1.0 and '"maxDepth": 3' in row["params"]
     assert found.scored_test.count() == found.scored_test.filter("is_test").count() == 226
+
+
+def test_a_bounded_search_fits_on_few_partitions(spark, monkeypatch):
+    df = spark.range(400).select(
+        "id", (F.col("id") % 10).cast("double").alias("x"), F.when(F.col("id") % 3 == 0, "u").otherwise("v").alias("c"),
+        F.when(F.col("id") % 10 > 6, "Late").otherwise("OnTime").alias("label"))
+    seen, tuned = [], training._tuned_tree
+    monkeypatch.setattr(training, "_tuned_tree", lambda ready, *rest: seen.append(ready.rdd.getNumPartitions()) or tuned(ready, *rest))
+    monkeypatch.setattr(training, "TREE_DEPTHS", (3,))
+    monkeypatch.setattr(training, "TREE_LEAF_ROWS", (1,))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = training.train_classifier(df, ["x"], ["c"], ["id"], families=("decision_tree",), settings=replace(DEFAULTS, cv_folds=2), fit_rows=300)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen == [training.FIT_PARTITIONS] and found.comparison.first()["cv_mean"] == 1.0
+
+
+def test_scoring_runs_the_model_once(spark, monkeypatch):
+    runs = spark.sparkContext.accumulator(0)
+
+    def probability(model, metadata, shipments):
+        count = F.udf(lambda v: runs.add(1) or v / 7.0, "double").asNondeterministic()
+        return shipments.withColumn("late_risk_probability", count(F.pmod("id", F.lit(7))))
+
+    monkeypatch.setattr(scoring, "late_probability", probability)
+    df = spark.range(104).withColumn("s", F.col("id").cast("double"))
+    got = scoring.score_late_risk(None, {}, df, ["id"]).orderBy(F.col("late_risk_probability").desc(), "id").collect()
+    assert [r["late_risk_decile"] for r in got] == [max(1, -(-(g * 10) // 103)) for g in range(104)]
+    assert runs.value == 104
