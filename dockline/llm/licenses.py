@@ -99,16 +99,45 @@ def _share(number: int) -> Column:
     return F.get(held, F.lit(0))["share"]
 
 
+def _hint(templates, threshold: float) -> Column:
+    return F.lit("(?<![a-z0-9])(?:" + "|".join(needed_terms(templates, threshold)) + ")(?![a-z0-9])")
+
+
+def _shapes(templates) -> Column:
+    """Number of terms and unit vector of each template."""
+    return F.array(*[
+        F.struct(F.lit(sum(terms_of(text).values())).alias("size"),
+                 F.array(*[F.struct(F.lit(t).alias("term"), F.lit(v).alias("share")) for t, v in vector.items()]).alias("entries"))
+        for (_, text), (_, _, vector) in zip(templates, template_vectors(templates), strict=True)])
+
+
+def _reaches(entries: Column, present: Column, threshold: float) -> Column:
+    """Whether a cosine at the threshold is possible: it is at most the norm of the shares of the terms present."""
+    held = F.filter(entries, lambda e: F.array_contains(present, e["term"]))
+    return F.aggregate(held, F.lit(0.0), lambda total, e: total + e["share"] * e["share"]) >= threshold * threshold - 1e-6
+
+
+def _split(texts: DataFrame, templates, *columns: str) -> DataFrame:
+    """`columns`, the terms of the text and those of them that templates have."""
+    # each explode of one element keeps what it holds from being computed again inside a lambda
+    split = texts.select(*columns, F.explode(F.array(F.regexp_extract_all("text", F.lit(f"({TERM})")))).alias("terms"))
+    known = F.array(*[F.lit(t) for t in term_weights(templates)[0]])
+    return split.select(*columns, "terms", F.explode(F.array(F.array_intersect("terms", known))).alias("present"))
+
+
 def best_matches(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(_key, unit, template, license, score) of each unit's best template; unit -1 is the whole text.
 
-    `files` has _key and text. Ties go to the first template.
+    `files` has _key and text; rows of one key are one text. Ties go to the first template.
+    Units are left out by the bound on their terms, so only those that may match are shuffled.
     """
-    hint = F.lit("(?<![a-z0-9])(?:" + "|".join(needed_terms(templates, threshold)) + ")(?![a-z0-9])")
+    hint = _hint(templates, threshold)
     texts = files.select("_key", _folded("text").alias("text")).filter(F.regexp_like("text", hint))
     lines = texts.select("_key", F.posexplode(F.split("text", "\n", -1)).alias("unit", "text")).filter(F.regexp_like("text", hint))
     units = lines.unionByName(texts.select("_key", F.lit(-1).alias("unit"), "text"))
-    terms = units.select("_key", "unit", F.explode(F.regexp_extract_all("text", F.lit(f"({TERM})"))).alias("term"))
+    fitting = _split(units, templates, "_key", "unit").filter(
+        F.exists(_shapes(templates), lambda s: _reaches(s["entries"], F.col("present"), threshold)))
+    terms = fitting.dropDuplicates(["_key", "unit"]).select("_key", "unit", F.explode("terms").alias("term"))
     return _scored(terms, templates, threshold)
 
 
@@ -146,23 +175,10 @@ def stretch_matches(files: DataFrame, stated: DataFrame | None = None, templates
     are left out; the bounds go first, so only texts that pass them are shuffled.
     """
     needed = F.array(*[F.lit(t) for t in needed_terms(templates, threshold)])
-    hint = F.lit("(?<![a-z0-9])(?:" + "|".join(needed_terms(templates, threshold)) + ")(?![a-z0-9])")
-    least = threshold * threshold - 1e-6
-
-    def bound(entries: Column, present: Column) -> Column:
-        held = F.filter(entries, lambda e: F.array_contains(present, e["term"]))
-        return F.aggregate(held, F.lit(0.0), lambda total, e: total + e["share"] * e["share"])
-
-    shapes = F.array(*[
-        F.struct(F.lit(sum(terms_of(text).values())).alias("size"),
-                 F.array(*[F.struct(F.lit(t).alias("term"), F.lit(v).alias("share")) for t, v in vector.items()]).alias("entries"))
-        for (_, text), (_, _, vector) in zip(templates, template_vectors(templates), strict=True)])
-    texts = files.select("_key", _folded("text").alias("text")).filter(F.regexp_like("text", hint))
-    # each explode of one element keeps what it holds from being computed again inside a lambda
-    split = texts.select("_key", F.explode(F.array(F.regexp_extract_all("text", F.lit(f"({TERM})")))).alias("terms"))
-    known = F.array(*[F.lit(t) for t in term_weights(templates)[0]])
-    split = split.select("_key", "terms", F.explode(F.array(F.array_intersect("terms", known))).alias("present"))
-    fitting = split.select("_key", "terms", F.filter(shapes, lambda s: bound(s["entries"], F.col("present")) >= least).alias("shapes"))
+    texts = files.select("_key", _folded("text").alias("text")).filter(F.regexp_like("text", _hint(templates, threshold)))
+    split = _split(texts, templates, "_key")
+    fitting = split.select("_key", "terms", F.filter(
+        _shapes(templates), lambda s: _reaches(s["entries"], F.col("present"), threshold)).alias("shapes"))
     fitting = fitting.filter(F.size("shapes") > 0)
     if stated is not None:
         fitting = fitting.join(stated.select("_key").distinct(), "_key", "left_anti")
@@ -174,7 +190,7 @@ def stretch_matches(files: DataFrame, stated: DataFrame | None = None, templates
     runs = fitting.select("_key", "shape", "terms", F.array_distinct(starts).alias("starts"))
     runs = runs.select("_key", "shape", F.explode(F.transform("starts", lambda s: F.struct(
         s.alias("at"), F.slice("terms", s, F.col("shape.size")).alias("run")))).alias("r"))
-    runs = runs.filter(bound(F.col("shape.entries"), F.col("r.run")) >= least)
+    runs = runs.filter(_reaches(F.col("shape.entries"), F.col("r.run"), threshold))
     # two templates of one length share their runs
     unit = F.col("r.at").cast("long") * (max(sum(terms_of(text).values()) for _, text in templates) + 1) + size
     units = runs.select("_key", unit.alias("unit"), F.col("r.run").alias("run")).dropDuplicates(["_key", "unit"])
@@ -197,7 +213,7 @@ def scanned(files: DataFrame, *, path: str = "path", text: str = "text", templat
     rest = [F.col(f"`{c}`") for c in files.columns if c != text]
     rows = files.select(F.struct(*rest).alias("_row"), key.alias("_key"))
     texts = files.select(key.alias("_key"), F.col(f"`{text}`").cast("string").alias("text"))
-    found = settled(best_matches(texts.distinct(), templates, threshold))
+    found = settled(best_matches(texts, templates, threshold))
     runs = stretch_matches(texts, found, templates, threshold)
     found = found.withColumn("unit", F.col("unit").cast("long")).unionByName(runs)
     own = found.groupBy("_key").agg(

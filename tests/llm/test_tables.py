@@ -197,3 +197,22 @@ def test_license_filter_loses_no_match(spark):
     got = {r._key: (r.score, -r.template, r.license) for r in licenses.best_matches(df).filter("unit = -1").collect()}
     assert got == {k: c for k, t in enumerate(texts) if (c := _cosine(t))[0] >= licenses.THRESHOLD}
     assert len(got) > 20
+
+
+def test_only_units_that_may_match_are_shuffled(spark):
+    lines = ["Released under the MIT License", "released the hounds under license of work", "the general public may use this software"]
+    df = spark.createDataFrame([(k, "\n".join([line] + [f"word{k} software license"] * 50)) for k, line in enumerate(lines * 5)], "_key long, text string")
+    seen = []
+    plain = licenses._scored
+
+    def scored(terms, templates, threshold):
+        seen.append(terms.select("_key", "unit").distinct().count())
+        return plain(terms, templates, threshold)
+
+    licenses._scored = scored
+    try:
+        got = {(r._key, r.unit, r.license) for r in licenses.best_matches(df.union(df)).collect()}
+    finally:
+        licenses._scored = plain
+    assert got == {(k, 0, "MIT") for k in range(0, 15, 3)}
+    assert seen == [10]  # of 780 units: the first line and the whole of the five texts with a statement
