@@ -52,6 +52,22 @@ def super_kmers(words: np.ndarray, size: int, run: int) -> tuple[np.ndarray, np.
     return low[starts], starts, np.diff(np.append(starts, len(low)))
 
 
+def text_windows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, second hash, row, first word) of every window of the texts, in their order.
+
+    A slice is hashed as one run of words; windows over the end of a text are left out.
+    """
+    found = []
+    for begin, _, data, offsets in slices(column):
+        words = Words(data, offsets)
+        counts = np.maximum(np.diff(words.first) - size + 1, 0)
+        offs = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.repeat(words.first[:-1], counts) + offs
+        one, two = windows(words.hashes, size), windows(mix64(words.hashes ^ _second), size)
+        found.append((one[at], two[at], begin + np.repeat(np.arange(len(counts)), counts), offs))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _minimisers(docs: DataFrame, size: int, run: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,16 +155,7 @@ def _sorted_buckets(strings: DataFrame, size: int) -> DataFrame:
     def expand(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         column = table.column("packed").combine_chunks().cast(pa.large_binary())
         column = pa.Array.from_buffers(pa.large_string(), len(column), column.buffers(), offset=column.offset)
-        one, two, rows, offs = [], [], [], []
-        for begin, stop, data, offsets in slices(column):
-            words = Words(data, offsets)
-            for row in range(stop - begin):
-                hashes = words.of(row)
-                one.append(windows(hashes, size))
-                two.append(windows(mix64(hashes ^ _second), size))
-                rows.append(np.full(len(one[-1]), begin + row))
-                offs.append(np.arange(len(one[-1])))
-        return tuple(np.concatenate(x) for x in (one, two, rows, offs))
+        return text_windows(column, size)
 
     def loose(table: pa.Table) -> pa.RecordBatch:
         one, two, rows, offs = expand(table)

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from dockline.llm import lines, minhash, superkmer
@@ -72,6 +73,20 @@ def test_passages_match_the_plain_version(spark, monkeypatch, hot):
     assert sum(v[1] for v in got.values()) > 500
 
 
+def test_windows_of_many_texts_are_hashed_together(monkeypatch):
+    texts = [" ".join(f"w{(i * 7 + k) % 90}" for k in range(n)) for i, n in enumerate([0, 3, 4, 5, 30, 4, 0, 61] * 20)]
+    calls = []
+    hashed = superkmer.windows
+    monkeypatch.setattr(superkmer, "windows", lambda *a: calls.append(1) or hashed(*a))
+    one, two, rows, offs = superkmer.text_windows(pa.array(texts, pa.large_string()), 4)
+    assert len(calls) == 2  # not two for each text
+    plain = [(row, at, tuple(words[at : at + 4])) for row, words in enumerate(t.split() for t in texts) for at in range(len(words) - 3)]
+    assert [(r, o) for r, o, _ in plain] == list(zip(rows.tolist(), offs.tolist(), strict=True))
+    names = dict(zip((w for _, _, w in plain), zip(one.tolist(), two.tolist(), strict=True), strict=True))
+    assert len(set(names.values())) == len(names)
+    assert [names[w] for _, _, w in plain] == list(zip(one.tolist(), two.tolist(), strict=True))
+
+
 def test_passages_of_repeated_rows_and_of_an_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(30))
     got = sorted((r.doc_id, r.n_removed) for r in superkmer.without_repeats(frame(spark, [(1, text), (1, text), (2, text)])).collect())
