@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from dockline.llm.common import batch_texts
 
 MEMO_ENTRIES = 250_000
+# nothing is shared within a batch; its texts, ids and their copies on the way to the JVM are held at once
+BATCH_BYTES = 2 << 20
 MASK = (1 << 64) - 1
 
 
@@ -203,10 +205,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, text: st
     Other columns of `docs` are not read. With `keep_ids=False` the ids are left out.
     """
     spark = docs.sparkSession
-    batch_texts(spark)
+    batch_texts(spark, BATCH_BYTES)
     shared = spark.sparkContext.broadcast(Codec(read_ranks(ranks_path), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a worker that served other stages keeps what they freed
+        pa.default_memory_pool().release_unused()
         codec = shared.value
         for batch in batches:
             ids, counts, digests, back = [], [], [], []

@@ -128,9 +128,9 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
-def batch_texts(spark: SparkSession) -> None:
+def batch_texts(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
     """Bound an Arrow batch by bytes, since texts differ in length by orders of magnitude."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
 
 
 def keyed(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:

@@ -52,6 +52,14 @@ def test_bpe_matches_the_library(spark, rows):
     assert back == {str(r[0]): r[1] or "" for r in rows}
 
 
+def test_bpe_takes_little_text_at_a_time(spark):
+    docs = spark.createDataFrame([(i, f"{i} " + "some words " * 20_000) for i in range(40)], "doc_id long, text string").coalesce(1)
+    coded = bpe.encode_documents(docs, RANKS, P.PATTERN)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == bpe.BATCH_BYTES <= 4 << 20
+    got = {r.doc_id: r.decoded_sha256 for r in coded.collect()}
+    assert got == {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()}
+
+
 def test_bpe_of_an_empty_table(spark):
     assert bpe.encode_documents(spark.createDataFrame([], SCHEMA), RANKS, P.PATTERN).collect() == []
 
