@@ -12,11 +12,13 @@ cannot hold a repeat. Minimisers are counted first, and a bitmap of fixed size o
 those seen twice keeps the other strings from being shipped. The bitmap only saves
 work: a set bit of another minimiser lets a string through in vain.
 
-Hot keys: copies of a string are combined before the shuffle, so a passage shared
-by a third of all rows is one string in its bucket. A bucket with more than
-`HOT_STRINGS` different strings is not sorted in its task; its windows are passed
-on one by one and grouped by their own hash, which spreads them over all tasks.
-Windows are compared by 128-bit hashes of their words.
+A string is moved once. All windows of a copy of an earlier string are owned elsewhere,
+so only the first copy a task meets carries its words to the bucket; later ones are
+passed on as spans, dealt evenly. A passage shared by a third of all rows is a few
+strings a task in its bucket. A bucket with more than `HOT_STRINGS` different strings
+is not sorted in its task; its windows are passed on one by one and grouped by their
+own hash, which spreads them over all tasks. Windows are compared by 128-bit hashes of
+their words.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,7 @@ WINDOW_WORDS = 20
 RUN_WORDS = 5
 FILTER_BITS = 26
 HOT_STRINGS = 20_000
+KNOWN_STRINGS = 100_000
 _second = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -100,16 +104,21 @@ def repeated_filter(docs: DataFrame, size: int, run: int, bits: int = FILTER_BIT
 
 
 def _strings(docs: DataFrame, size: int, run: int, allowed: bytes) -> DataFrame:
-    """(mini, packed, string_key, _id, _th, start, n_windows) of the super-k-mers that may repeat."""
+    """(mini, packed, _id, _th, start, n_windows) of the super-k-mers that may repeat.
+
+    A string that its task has met at an earlier place has no packed words, and its mini only deals it to a task.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(allowed)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         mask = np.uint64(len(bits) * 8 - 1)
+        known: dict[bytes, tuple[int, int, int]] = {}  # earliest place of each string so far
         for batch in batches:
+            ids, hashes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for begin, stop, data, offsets in slices(batch.column(1)):
                 words = Words(data, offsets)
-                minis, packed, keys, rows, first, number = [], [], [], [], [], []
+                minis, packed, places, number = [], [], [], []
                 for row in range(stop - begin):
                     mini, starts, counts = super_kmers(words.of(row), size, run)
                     place = mini & mask
@@ -117,76 +126,106 @@ def _strings(docs: DataFrame, size: int, run: int, allowed: bytes) -> DataFrame:
                     if not len(wanted):
                         continue
                     pieces = data[offsets[row] : offsets[row + 1]].tobytes().split()
-                    for k in wanted.tolist():
-                        at, n = int(starts[k]), int(counts[k])
+                    of_id, of_text = ids[begin + row], hashes[begin + row]
+                    for key, at, n in zip(mini[wanted].tolist(), starts[wanted].tolist(), counts[wanted].tolist(), strict=True):
                         string = b" ".join(pieces[at : at + n + size - 1])
+                        digest = hashlib.blake2b(string, digest_size=16).digest()
+                        own, first = (of_id, of_text, at), known.get(digest)
+                        if own == first:  # the same document again
+                            continue
+                        if first is None or own < first:
+                            known[digest] = own
+                        else:
+                            string, key = None, hash(own) & (1 << 64) - 1
+                        minis.append(key)
                         packed.append(string)
-                        keys.append(hashlib.blake2b(string, digest_size=16).digest())
-                        first.append(at)
+                        places.append(own)
                         number.append(n)
-                    minis.append(mini[wanted])
-                    rows += [begin + row] * len(wanted)
-                if rows:
-                    take = pa.array(rows, pa.int64())
+                    if len(known) > KNOWN_STRINGS:
+                        known.clear()
+                if places:
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.concatenate(minis).view(np.int64)),
+                            pa.array(np.array(minis, np.uint64).view(np.int64)),
                             pa.array(packed, pa.binary()),
-                            pa.array(keys, pa.binary()),
-                            batch.column(2).take(take),
-                            batch.column(3).take(take),
-                            pa.array(first, pa.int64()),
+                            *(pa.array(column, pa.int64()) for column in zip(*places, strict=True)),
                             pa.array(number, pa.int64()),
                         ],
-                        names=["mini", "packed", "string_key", "_id", "_th", "start", "n_windows"],
+                        names=["mini", "packed", "_id", "_th", "start", "n_windows"],
                     )
 
-    schema = "mini long, packed binary, string_key binary, _id long, _th long, start long, n_windows long"
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(work, "mini long, packed binary, _id long, _th long, start long, n_windows long")
 
 
 def _sorted_buckets(strings: DataFrame, size: int) -> DataFrame:
-    """Windows owned by each distinct string: (string_key, offsets), or single windows of hot buckets.
+    """(_id, _th, a, b) of the windows [a, b) owned elsewhere, or single windows of hot buckets.
 
-    A hot bucket's row has null offsets and the window's hashes w1, w2 and offset.
+    Takes strings by mini, equal ones together and the earliest first. A hot bucket's
+    row is one window [a, a + 1) of a string's earliest copy and has its hashes w1 and w2.
     """
-    names = ["string_key", "_id", "_th", "start", "offsets", "w1", "w2", "offset"]
+    names = ["_id", "_th", "a", "b", "w1", "w2"]
+    places = ["_id", "_th", "start"]
 
     def expand(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         column = table.column("packed").combine_chunks().cast(pa.large_binary())
         column = pa.Array.from_buffers(pa.large_string(), len(column), column.buffers(), offset=column.offset)
         return text_windows(column, size)
 
+    def spans(table: pa.Table, rows: np.ndarray, a: np.ndarray, b: np.ndarray, *hashes: np.ndarray) -> pa.RecordBatch:
+        who = [pa.array(table.column(n).to_numpy()[rows]) for n in names[:2]]
+        marks = [pa.array(h.view(np.int64)) for h in hashes] or [pa.nulls(len(rows), pa.int64())] * 2
+        return pa.RecordBatch.from_arrays([*who, pa.array(a, pa.int64()), pa.array(b, pa.int64()), *marks], names=names)
+
+    def whole(table: pa.Table) -> pa.RecordBatch:
+        a = table.column("start").to_numpy()
+        return spans(table, np.arange(len(a)), a, a + table.column("n_windows").to_numpy())
+
     def loose(table: pa.Table) -> pa.RecordBatch:
         one, two, rows, offs = expand(table)
-        take = pa.array(rows)
-        picked = [table.column(n).combine_chunks().take(take) for n in names[:4]]
-        return pa.RecordBatch.from_arrays(
-            [*picked, pa.nulls(len(rows), pa.list_(pa.int64())), pa.array(one.view(np.int64)),
-             pa.array(two.view(np.int64)), pa.array(offs, pa.int64())], names=names)
+        a = table.column("start").to_numpy()[rows] + offs
+        return spans(table, rows, a, a + 1, one, two)
 
-    def owned(table: pa.Table) -> pa.RecordBatch:
+    def lost(table: pa.Table) -> pa.RecordBatch:
         one, two, rows, offs = expand(table)
-        place = [table.column(n).to_numpy() for n in ("start", "_th", "_id")]
         rank = np.empty(table.num_rows, np.int64)
-        rank[np.lexsort(place)] = np.arange(table.num_rows)
+        rank[np.lexsort([table.column(n).to_numpy() for n in reversed(places)])] = np.arange(table.num_rows)
         # the super-k-mers of a text do not share windows, so string order is window order
         order = np.lexsort((rank[rows] << 32 | offs, two, one))
-        one, two, rows, offs = one[order], two[order], rows[order], offs[order]
-        first = np.ones(len(one), bool)
-        first[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        rows, offs = rows[first], offs[first]
-        by_row = np.argsort(rows, kind="stable")
-        bounds = np.searchsorted(rows[by_row], np.arange(table.num_rows + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(offs[by_row], pa.int64()))
-        none = pa.nulls(table.num_rows, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [*(table.column(n).combine_chunks() for n in names[:4]), lists, none, none, none], names=names)
+        one, two = one[order], two[order]
+        again = np.zeros(len(one), bool)
+        again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+        gone = np.sort(order[again])  # windows are numbered by string and offset, so runs of them are spans
+        rows, offs = rows[gone], offs[gone]
+        cuts = np.flatnonzero((np.diff(gone) != 1) | (np.diff(rows) != 0)) + 1
+        begins, ends = np.append(0, cuts)[: len(gone)], np.append(cuts, len(gone))[: len(gone)] - 1
+        start = table.column("start").to_numpy()[rows[begins]]
+        return spans(table, rows[begins], start + offs[begins], start + offs[ends] + 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, hot = None, None
+        pending, hot, last, first = None, None, None, None
         for batch in batches:
             table = pa.Table.from_batches([batch])
+            copies = table.filter(pc.is_null(table.column("packed")))
+            if copies.num_rows:
+                yield whole(copies)
+                table = table.filter(pc.is_valid(table.column("packed")))
+            if not table.num_rows:
+                continue
+            strings = table.column("packed").combine_chunks()
+            fresh = np.ones(len(strings), bool)
+            fresh[1:] = pc.not_equal(strings.slice(1), strings.slice(0, len(strings) - 1)).to_numpy(zero_copy_only=False)
+            fresh[0] = strings[0].as_py() != last
+            own = np.stack([table.column(n).to_numpy() for n in places])
+            firsts = own[:, np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))]
+            if not fresh[0]:  # a string that the batch before began
+                firsts[:, : int(np.argmax(fresh)) or len(fresh)] = first[:, None]
+            last, first = strings[-1].as_py(), firsts[:, -1]
+            later = ~fresh & (own != firsts).any(axis=0)  # else the same document again
+            if later.any():
+                yield whole(table.filter(pa.array(later)))
+            table = table.filter(pa.array(fresh))
+            if not table.num_rows:
+                continue
             minis = table.column("mini").to_numpy()
             if hot is not None:
                 same = int(np.searchsorted(minis, hot, side="right"))
@@ -200,52 +239,31 @@ def _sorted_buckets(strings: DataFrame, size: int) -> DataFrame:
             minis = table.column("mini").to_numpy()
             cut = int(np.searchsorted(minis, minis[-1], side="left"))
             if cut:
-                yield owned(table.slice(0, cut))
+                yield lost(table.slice(0, cut))
             pending = table.slice(cut)
             if pending.num_rows > HOT_STRINGS:
                 hot = minis[-1]
                 yield loose(pending)
                 pending = None
         if pending is not None and pending.num_rows:
-            yield owned(pending)
+            yield lost(pending)
 
-    schema = ("string_key binary, _id long, _th long, start long, offsets array<long>, "
-              "w1 long, w2 long, offset long")
-    return strings.mapInArrow(work, schema)
+    return strings.mapInArrow(work, "_id long, _th long, a long, b long, w1 long, w2 long")
 
 
 def repeated_windows(docs: DataFrame, *, size: int = WINDOW_WORDS, run: int = RUN_WORDS) -> DataFrame:
     """(_id, _th, spans) of a `keyed` frame: the windows [a, b) whose words also start earlier."""
     allowed = repeated_filter(docs, size, run)
-    strings = stored(_strings(docs, size, run, allowed), "superkmer-strings")
-    distinct = strings.groupBy("mini", "packed", "string_key").agg(
-        F.min(F.struct("_id", "_th", "start")).alias("f")
-    ).select("mini", "packed", "string_key", "f.*")
-    ordered = distinct.repartition("mini").sortWithinPartitions("mini")
-    found = stored(_sorted_buckets(ordered, size), "superkmer-owners")
-    hot = (
-        found.filter("offsets IS NULL")
-        .groupBy("w1", "w2")
-        .agg(F.min_by(F.struct("string_key", "offset"), F.struct("_id", "_th", F.col("start") + F.col("offset"))).alias("o"))
-        .groupBy(F.col("o.string_key").alias("string_key"))
-        .agg(F.collect_list("o.offset").alias("own"))  # at most the windows of one string
+    strings = _strings(docs, size, run, allowed)
+    ordered = strings.repartition("mini").sortWithinPartitions("mini", "packed", "_id", "_th", "start")
+    found = stored(_sorted_buckets(ordered, size), "superkmer-spans")
+    loose = found.filter("w1 IS NOT NULL")
+    owners = loose.groupBy("w1", "w2").agg(F.min(F.struct("_id", "_th", "a")).alias("o")).select("o.*")
+    spans = found.filter("w1 IS NULL").select("_id", "_th", "a", "b").unionByName(
+        loose.select("_id", "_th", "a", "b").join(owners, ["_id", "_th", "a"], "left_anti")
     )
-    hot_strings = found.filter("offsets IS NULL").select("string_key", "_id", "_th", "start").distinct()
-    owners = found.filter("offsets IS NOT NULL").select("string_key", "_id", "_th", "start", "offsets").unionByName(
-        hot_strings.join(hot, "string_key", "left").select(
-            "string_key", "_id", "_th", "start", F.coalesce("own", F.array().cast("array<long>")).alias("offsets"))
-    ).select("string_key", F.struct("_id", "_th", "start").alias("owner"), "offsets")
-    seen = strings.select("string_key", "_id", "_th", "start", "n_windows").join(owners, "string_key")
-    lost = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n_windows") - 1), lambda x: ~F.array_contains("offsets", x))
-    spans = F.when(
-        F.struct("_id", "_th", "start") == F.col("owner"),
-        F.transform(lost, lambda x: F.struct((F.col("start") + x).alias("a"), (F.col("start") + x + 1).alias("b"))),
-    ).otherwise(F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n_windows")).alias("b"))))
-    return (
-        seen.select("_id", "_th", spans.alias("spans"))
-        .filter("size(spans) > 0")
-        .groupBy("_id", "_th")
-        .agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most the windows of one text
+    return spans.groupBy("_id", "_th").agg(
+        F.collect_list(F.struct("a", "b")).alias("spans")  # at most the windows of one text
     )
 
 

@@ -87,6 +87,34 @@ def test_windows_of_many_texts_are_hashed_together(monkeypatch):
     assert [names[w] for _, _, w in plain] == list(zip(one.tolist(), two.tolist(), strict=True))
 
 
+def test_a_task_ships_the_words_of_a_string_once(spark):
+    text = " ".join(f"w{i % 90}" for i in range(200))
+    docs = superkmer.keyed(frame(spark, [(i, text) for i in (3, 1, 2, 1, None)]).coalesce(1))
+    strings = superkmer._strings(docs, 20, 5, b"\xff" * 4096).toPandas()
+    words = strings.packed.dropna()
+    earliest = strings[strings.packed.notna()].groupby("packed")[["_id", "_th", "start"]].apply(lambda g: min(map(tuple, g.to_numpy().tolist())))
+    assert len(words) < len(strings) and strings.packed.isna().sum() > 0
+    assert not strings[strings.packed.notna()][["_id", "_th", "start"]].duplicated().any()
+    assert len(earliest) == words.nunique() and all(place[0] < 0 for place in earliest)
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+@pytest.mark.parametrize(("known", "rows"), [(100_000, 10_000), (0, 10_000), (5, 7)])
+def test_passages_in_copies_over_many_batches(spark, monkeypatch, hot, known, rows):
+    monkeypatch.setattr(superkmer, "HOT_STRINGS", hot)
+    monkeypatch.setattr(superkmer, "KNOWN_STRINGS", known)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        docs = _passages()
+        docs += [(i, docs[i % 7][1]) for i in range(60, 90)] + docs[:5] + [(100 + i, docs[4][1]) for i in range(3)] * 2
+        out = superkmer.without_repeats(frame(spark, docs)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = brute.passages(list(dict.fromkeys(docs)))
+    assert sorted((r.doc_id for r in out), key=str) == sorted((i for i, _ in docs), key=str)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in out} == plain
+
+
 def test_passages_of_repeated_rows_and_of_an_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(30))
     got = sorted((r.doc_id, r.n_removed) for r in superkmer.without_repeats(frame(spark, [(1, text), (1, text), (2, text)])).collect())
