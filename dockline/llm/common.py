@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockline.plans.ranking import settled, use_checkpoint_dir
+from dockline.plans.ranking import passing_shuffles, settled, use_checkpoint_dir
 
 __all__ = ["settled", "stored", "keyed", "slices", "Words", "windows", "mix64", "components"]
 
@@ -157,7 +157,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The frame written as Parquet to the shared checkpoint folder and read again."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    with passing_shuffles(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,7 @@
 """Quantile and ranking plans against plain numpy and pandas."""
 
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -9,8 +10,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dockline.llm.common import stored
 from dockline.operators import evaluation
-from dockline.plans import cuts
+from dockline.plans import cuts, ranking
 from dockline.plans.quantiles import grouped_quantiles
 from dockline.plans.ranking import running
 
@@ -198,3 +200,24 @@ def test_row_numbers_are_shuffled_once(spark):
     for g in (None, 1, 2):
         values = sorted((r.v, r.n) for r in out.collect() if r.g == g)
         assert [n for _, n in values] == list(range(100, 0, -1))
+
+
+@pytest.mark.parametrize("copy", [ranking.settled, lambda df: stored(df, "copy")], ids=["settled", "stored"])
+def test_copies_leave_no_shuffle_files_and_the_setting_as_it_was(spark, copy):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        kept = disk.getAllFiles()
+        names = (kept.apply(k).getName() for k in range(kept.length()))
+        return {x for x in names if x.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(name)
+    df = spark.range(100).groupBy((F.col("id") % 7).alias("g")).agg(F.sum("id").alias("s"))
+    copied = copy(df)
+    for _ in range(50):  # they are removed in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(name) == setting == "false"
+    assert sorted(map(tuple, copied.collect())) == sorted(map(tuple, df.collect()))
