@@ -14,7 +14,7 @@ def test_tied_values_take_one_count(spark, monkeypatch):
     values = [F.col("tied"), F.col("wide")]
     parts, counts, counted = moments.column_moments(df, values).cache(), [], moments._counted
     monkeypatch.setattr(moments, "_counted", lambda df, values, searches: counts.append(len(searches)) or counted(df, values, searches))
-    got = moments.exact_quantiles(df.select("tied"), values[:1], {0: 60_000}, parts.filter("place = 0"), (0.25, 0.5, 0.75))
+    got = moments.exact_quantiles(df.select("tied"), values[:1], {0: 60_000}, parts.filter("place = 0"), (0.25, 0.5, 0.75), 100)
     assert got == {0: list(df.agg(*[F.percentile("tied", F.lit(f)) for f in (0.25, 0.5, 0.75)]).first())}
     assert len(counts) == 1
     # some tasks list the tied values, others count cells
